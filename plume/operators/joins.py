@@ -18,14 +18,25 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 2_000_000
 
 
+_SIZE_CHECKS: dict[tuple[int, int, int], bool] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the
-    plain DataFrame is returned and the planner picks a shuffle join.
+    The check counts at most ``max_rows + 1`` rows.  Beyond the bound the
+    plain DataFrame is returned and the planner picks a shuffle join (AQE may
+    still switch to a broadcast at runtime).  The outcome is remembered per
+    session and plan (``semanticHash``), so a dimension that many queries
+    join is counted once; only the join strategy depends on it, never the
+    result.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    small = _SIZE_CHECKS.get(key)
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        _SIZE_CHECKS[key] = small
+    return F.broadcast(df) if small else df
 
 
 def integrate_videos(comments: DataFrame, videos: DataFrame, key: str = "videoId",

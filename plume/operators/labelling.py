@@ -6,10 +6,9 @@ the unrelated rows are added back with the 'skipped' values by a union.
 With the lexicon scorers every stage is a native projection, so the whole
 pipeline is one narrow stage per input partition.
 
-Staging: ``lower(text)`` and the score array are projected into their own
-columns once; Catalyst keeps such non-trivial, multiply-used columns in
-separate projections instead of inlining them, so each keyword test runs
-once per row and the generated code stays small.
+Staging: ``lower(text)`` -> ``matches`` (one regex pass over the text for
+all terms) -> score array.  Each is projected into its own column once;
+every label, score, brand list and relevance flag reads those columns.
 """
 
 from __future__ import annotations
@@ -18,56 +17,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CATEGORY_KEYWORDS
-from ..functions.labels import (brand_list, brand_tags, first_hit_of, keyword_relevant,
-                                label_of, score_structs, winner_share_of)
+from ..functions.labels import (brand_list, first_hit_of, keyword_relevant, label_of,
+                                relevance_terms, score_of, score_structs, term_matches,
+                                winner_share_of)
 
 LOWER = "_text_lower"
+MATCHES = "_matches"
 SCORES = "_scores"
+_WORK = [LOWER, MATCHES, SCORES]
 
 
-def with_lower(df: DataFrame, text: str) -> DataFrame:
-    """Lowercase the text once; every keyword test reads this column."""
-    return df.withColumn(LOWER, F.lower(F.col(text)))
+def with_matches(df: DataFrame, text: str, extra_terms: list[str] | None = None) -> DataFrame:
+    """Add the distinct lexicon/brand/extra terms contained in the text."""
+    d = df.withColumn(LOWER, F.lower(F.col(text)))
+    return d.withColumn(MATCHES, term_matches(LOWER, relevance_terms(extra_terms))).drop(LOWER)
 
 
 def with_scores(df: DataFrame, text: str) -> DataFrame:
-    return with_lower(df, text).withColumn(SCORES, score_structs(F.col(LOWER)))
+    return with_matches(df, text).withColumn(SCORES, score_structs(MATCHES))
+
+
+def _drop_work(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in _WORK if c in df.columns])
 
 
 def weak_labels(df: DataFrame, text: str = "cleaned_text", out: str = "category") -> DataFrame:
     """Add the keyword-count category ('unlabeled' when nothing hits)."""
-    return with_scores(df, text).withColumn(out, label_of(F.col(SCORES))).drop(LOWER, SCORES)
+    return _drop_work(with_scores(df, text).withColumn(out, label_of(SCORES)))
 
 
 def category_score_columns(df: DataFrame, text: str = "textOriginal") -> DataFrame:
     """One column per category: number of distinct keywords contained."""
     d = with_scores(df, text)
-    return d.withColumns({f"score_{c}": F.col(SCORES)[i]["s"].cast("long")
-                          for i, c in enumerate(CATEGORY_KEYWORDS)}).drop(LOWER, SCORES)
+    return _drop_work(d.withColumns({f"score_{c}": score_of(SCORES, i).cast("long")
+                                     for i, c in enumerate(CATEGORY_KEYWORDS)}))
 
 
 def brand_columns(df: DataFrame, text: str = "textOriginal") -> DataFrame:
     """Brands mentioned (array, list order) and their ', '-joined tags."""
-    d = with_lower(df, text).withColumn("brand_list", brand_list(F.col(LOWER)))
-    return d.withColumn("brands", F.array_join("brand_list", ", ")).drop(LOWER)
+    d = with_matches(df, text).withColumn("brand_list", brand_list(MATCHES))
+    return _drop_work(d.withColumn("brands", F.array_join("brand_list", ", ")))
 
 
 def keyword_relevance(df: DataFrame, text: str = "textOriginal", out: str = "is_related",
                       extra_terms: list[str] | None = None) -> DataFrame:
-    d = with_lower(df, text)
-    return d.withColumn(out, keyword_relevant(F.col(LOWER), extra_terms)).drop(LOWER)
+    d = with_matches(df, text, extra_terms)
+    return _drop_work(d.withColumn(out, keyword_relevant(MATCHES)))
 
 
 def confidence(df: DataFrame, text: str = "textOriginal") -> DataFrame:
     """Lexicon category and its confidence (winner's share of all hits)."""
     d = with_scores(df, text)
-    return d.withColumns({"category": label_of(F.col(SCORES)),
-                          "confidence": winner_share_of(F.col(SCORES))}).drop(LOWER, SCORES)
+    return _drop_work(d.withColumns({"category": label_of(SCORES),
+                                     "confidence": winner_share_of(SCORES)}))
 
 
 def first_hit_labels(df: DataFrame, text: str, out: str = "first_hit") -> DataFrame:
-    d = with_scores(df, text)
-    return d.withColumn(out, first_hit_of(F.col(SCORES))).drop(LOWER, SCORES)
+    return _drop_work(with_scores(df, text).withColumn(out, first_hit_of(SCORES)))
 
 
 def gated_pipeline(df: DataFrame, sentiment: DataFrame | None = None,
@@ -99,16 +105,16 @@ def analyze_comments(df: DataFrame, text: str = "textOriginal", key: str = "row_
     unrelated).  Lexicon scorers: relevance_score is 1.0 (a rule is certain),
     category_score is the winner's share of keyword hits."""
     d = with_scores(df.select(key, text), text)
-    d = d.withColumn("_rel", keyword_relevant(F.col(LOWER)))
+    d = d.withColumn("_rel", keyword_relevant(MATCHES))
     rel = F.col("_rel")
     return d.select(
         key,
         F.col(text).alias("comment"),
         F.when(rel, F.lit("Yes")).otherwise(F.lit("No")).alias("is_related"),
-        F.when(rel, label_of(F.col(SCORES))).otherwise(F.lit("N/A")).alias("category"),
-        F.when(rel, brand_tags(F.col(LOWER))).otherwise(F.lit("N/A")).alias("brands"),
+        F.when(rel, label_of(SCORES)).otherwise(F.lit("N/A")).alias("category"),
+        F.when(rel, F.array_join(brand_list(MATCHES), ", ")).otherwise(F.lit("N/A")).alias("brands"),
         F.lit(1.0).alias("relevance_score"),
-        F.when(rel, winner_share_of(F.col(SCORES))).alias("category_score"),
+        F.when(rel, winner_share_of(SCORES)).alias("category_score"),
     )
 
 

@@ -327,7 +327,7 @@ def q_metrics_binary(spark, sf):
 def q_metrics_weighted(spark, sf):
     d = L.with_scores(_e(spark, sf).select("row_id", "textOriginal"), "textOriginal")
     from ..functions.labels import first_hit_of, label_of
-    y = d.select(label_of(F.col(L.SCORES)).alias("label"), first_hit_of(F.col(L.SCORES)).alias("prediction"))
+    y = d.select(label_of(L.SCORES).alias("label"), first_hit_of(L.SCORES).alias("prediction"))
     return M.weighted_metrics(y)
 
 

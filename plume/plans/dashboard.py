@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.numeric import ratio_positive, round9
 from ..operators import aggregates as A
-from ..operators import soe as S
+from ..operators.cleaning import SOE_COLUMN
 from ..sources import fixtures as FX
 
 
 def category_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per category (product-related rows): mean row SOE, engagement totals
-    and aggregate SOE.  Both sides are aggregates of the same enriched view
-    (one row per category), joined on the category."""
+    """Per category of product-related comments: mean row SOE (the bar
+    chart), engagement totals and aggregate SOE (the calculator's baseline).
+
+    One ``groupBy`` computes all of it in a single pass over the enriched
+    view (partial aggregation per task, one row per category shuffled).
+    """
     e = FX.enriched(spark, sf_dir)
-    mean = A.mean_soe_by_category(e)
-    totals = S.category_soe(e)
-    return (mean.join(totals, "Predicted_Category", "inner")
+    agg = (A.product_comments(e).groupBy("Predicted_Category").agg(
+        round9(F.avg(SOE_COLUMN)).alias("mean_soe"),
+        F.sum("likeCount_comment").cast("long").alias("current_comment_likes"),
+        F.sum("likeCount_video").cast("long").alias("current_video_likes"),
+        F.sum("favouriteCount").cast("long").alias("current_video_favs"),
+        F.sum("commentCount").cast("long").alias("current_video_comments")))
+    den = F.col("current_video_likes") + F.col("current_video_favs") + F.col("current_video_comments")
+    return (agg.filter(F.col("mean_soe").isNotNull())
+            .withColumn("current_engagement", den)
+            .withColumn("current_soe", round9(ratio_positive(F.col("current_comment_likes").cast("double"),
+                                                             den.cast("double"))))
             .orderBy("Predicted_Category"))

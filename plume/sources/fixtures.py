@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import (BRANDS, NOT_PRODUCT_RELATED, PRODUCT_RELATED,
                                       lexicon_rows)
 from ..functions.fixed_values import UNLABELED
-from .tables import read_table
+from ..functions.labels import sql_array
+from .tables import read_table, spread
 
 # Fixture parameters (FIXTURES.md part 3): which documents get a keyword,
 # a brand, a null text, an unparsable like count, a null relevance.
@@ -40,15 +41,17 @@ def brands_df(spark: SparkSession) -> DataFrame:
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, videoId, textOriginal, likeCount_comment (text, like a CSV cell)."""
-    return comments_from(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "n_chars"]))
+    def build():
+        docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "n_chars"])
+        return comments_from(spread(docs, "doc_id"))
+    return _memo("comments", spark, sf_dir, build)
 
 
 def comments_from(d: DataFrame) -> DataFrame:
     """The comment derivation over a documents frame (batch or stream)."""
-    keywords = F.array(*[F.lit(r[3]) for r in lexicon_rows()])
-    brands = F.array(*[F.lit(b) for b in BRANDS])
-    kw = F.element_at(keywords, (F.pmod(F.col("doc_id"), F.lit(len(lexicon_rows()))) + 1).cast("int"))
-    brand = F.element_at(brands, (F.pmod(F.col("doc_id"), F.lit(len(BRANDS))) + 1).cast("int"))
+    keywords = sql_array([r[3] for r in lexicon_rows()])
+    kw = F.expr(f"element_at({keywords}, CAST(pmod(doc_id, {len(lexicon_rows())}) + 1 AS INT))")
+    brand = F.expr(f"element_at({sql_array(BRANDS)}, CAST(pmod(doc_id, {len(BRANDS)}) + 1 AS INT))")
     text = F.concat(
         F.col("text"),
         F.when(F.col("doc_id") % KEYWORD_EVERY != 0, F.concat(F.lit(" "), kw)).otherwise(F.lit("")),
@@ -67,6 +70,10 @@ def comments_from(d: DataFrame) -> DataFrame:
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per video (source) with its engagement; an aggregate of
     ``documents`` read through the ``source`` column only."""
+    return _memo("videos", spark, sf_dir, lambda: _videos(spark, sf_dir))
+
+
+def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_source = (read_table(spark, sf_dir, "documents", ["source"])
                   .groupBy("source").agg(F.count(F.lit(1)).alias("n")))
     v = F.substring(F.col("source"), 4, 1 << 20).cast("int")
@@ -90,12 +97,37 @@ def sentiment_from_labels(labels: DataFrame) -> DataFrame:
     )
 
 
+_VIEWS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _memo(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """Build a view's (lazy) plan once per application and data folder.
+
+    Only the DataFrame object is kept - no data is cached - so every query
+    still scans and computes from the tables; what is saved is the Python
+    side plan construction.  Call ``forget_views()`` after the files change.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    df = _VIEWS.get(key)
+    if df is None:
+        df = _VIEWS[key] = build()
+    return df
+
+
+def forget_views() -> None:
+    _VIEWS.clear()
+
+
 def raw_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enriched comment table as the batch pipeline would export it,
     before the dashboard's cleaning: labels may be null, counts are text or
     null.  Columns: row_id, videoId, textOriginal, likeCount_comment,
     likeCount_video, favouriteCount, commentCount, isProductRelated,
     Predicted_Category, predicted_sentiment."""
+    return _memo("raw_enriched", spark, sf_dir, lambda: _raw_enriched(spark, sf_dir))
+
+
+def _raw_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.joins import integrate_videos
     from ..operators.labelling import weak_labels
 
@@ -117,4 +149,4 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned comment table with row SOE (the dashboard's input)."""
     from ..operators.cleaning import clean
 
-    return clean(raw_enriched(spark, sf_dir))
+    return _memo("enriched", spark, sf_dir, lambda: clean(raw_enriched(spark, sf_dir)))

@@ -20,3 +20,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Fan a small scan out over all cores before CPU-heavy per-row work.
+
+    A scan of few, large row groups (one per file here) yields fewer
+    partitions than the cluster has cores, and the text labelling would run
+    in that many tasks.  Then (and only then) the rows are hash-partitioned
+    by ``key`` into ``defaultParallelism`` partitions.  At scale the scan
+    already has far more splits than cores and this is a no-op, so the large
+    input is never shuffled for it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
