@@ -7,8 +7,9 @@ With the lexicon scorers every stage is a native projection, so the whole
 pipeline is one narrow stage per input partition.
 
 Staging: ``lower(text)`` -> ``matches`` (one regex pass over the text for
-all terms) -> score array.  Each is projected into its own column once;
-every label, score, brand list and relevance flag reads those columns.
+all terms, behind a one-row generator so the optimizer cannot copy it) ->
+score array; every label, score, brand list and relevance flag reads those
+columns.
 """
 
 from __future__ import annotations
@@ -28,9 +29,18 @@ _WORK = [LOWER, MATCHES, SCORES]
 
 
 def with_matches(df: DataFrame, text: str, extra_terms: list[str] | None = None) -> DataFrame:
-    """Add the distinct lexicon/brand/extra terms contained in the text."""
+    """Add the distinct lexicon/brand/extra terms contained in the text.
+
+    The match array is produced by a one-row generator (``inline`` of a
+    one-element array).  Filters on anything derived from it (category,
+    relevance, ...) cannot be pushed below a generator's output, so the
+    regex pass runs exactly once per row.  As a plain projection, filter
+    pushdown and constraint inference copy the expression into every pushed
+    filter (up to 46 copies were seen in one plan).
+    """
     d = df.withColumn(LOWER, F.lower(F.col(text)))
-    return d.withColumn(MATCHES, term_matches(LOWER, relevance_terms(extra_terms))).drop(LOWER)
+    matches = term_matches(LOWER, relevance_terms(extra_terms))
+    return d.select("*", F.inline(F.array(F.struct(matches.alias(MATCHES))))).drop(LOWER)
 
 
 def with_scores(df: DataFrame, text: str) -> DataFrame:
