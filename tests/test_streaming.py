@@ -35,13 +35,18 @@ def test_trend_watermark_drops_late_rows(spark):
     land = os.path.join(base, "landing")
     os.makedirs(land)
     schema = "event_id long, ts timestamp, event_type string"
-    first = spark.createDataFrame([(1, "2024-01-01 10:00:00", "a"), (2, "2024-01-03 10:00:00", "a")], schema="event_id long, ts string, event_type string")
-    late = spark.createDataFrame([(3, "2024-01-01 11:00:00", "a"), (4, "2024-01-03 11:00:00", "a")], schema="event_id long, ts string, event_type string")
-    first.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").coalesce(1).write.parquet(os.path.join(base, "f1"))
-    late.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").coalesce(1).write.parquet(os.path.join(base, "f2"))
-    for i, d in enumerate(["f1", "f2"]):
-        src = [f for f in os.listdir(os.path.join(base, d)) if f.endswith(".parquet")][0]
-        shutil.copy(os.path.join(base, d, src), os.path.join(land, f"events_{i}.parquet"))
+    files = [[(1, "2024-01-01 10:00:00", "a"), (2, "2024-01-03 10:00:00", "a")],
+             [(3, "2024-01-03 12:00:00", "a")],
+             [(4, "2024-01-01 11:00:00", "a")]]          # late: behind the watermark
+    for i, rows in enumerate(files):
+        tmp = os.path.join(base, f"f{i}")
+        (spark.createDataFrame(rows, "event_id long, ts string, event_type string")
+         .select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+         .coalesce(1).write.parquet(tmp))
+        src = [f for f in os.listdir(tmp) if f.endswith(".parquet")][0]
+        dst = os.path.join(land, f"events_{i}.parquet")
+        shutil.copy(os.path.join(tmp, src), dst)
+        os.utime(dst, (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))  # arrival order
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
               .option("maxFilesPerTrigger", 1).parquet(land))
     out = os.path.join(base, "out")
@@ -54,5 +59,6 @@ def test_trend_watermark_drops_late_rows(spark):
          .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     counts = {str(r.window_start.date()): r["count"] for r in latest_windows(spark, out).collect()}
-    # the Jan 1 row of the second file is later than the watermark -> ignored
+    # Spark filters late input with the previous batch's watermark: the Jan 1
+    # row of the third file is behind it (Jan 3 09:00) and is dropped
     assert counts == {"2024-01-01": 1, "2024-01-03": 2}
