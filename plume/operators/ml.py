@@ -24,7 +24,7 @@ from . import metrics as M
 from . import training as T
 
 NUM_FEATURES = 4096
-MAX_ITER = 30
+MAX_ITER = 20
 REG_GRID = [0.0, 0.01, 0.1]
 
 
@@ -95,7 +95,7 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = ParamGridBuilder().addGrid(lr.regParam, REG_GRID).build()
     tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid,
                                evaluator=MulticlassClassificationEvaluator(labelCol="label_d", metricName="f1"),
-                               trainRatio=0.8, seed=42)
+                               trainRatio=0.8, seed=42, parallelism=len(REG_GRID))
     fitted = tvs.fit(train)
     rows = [(float(pm[lr.regParam]), float(m)) for pm, m in zip(grid, fitted.validationMetrics)]
     cand = spark.createDataFrame(rows, "reg_param double, f1 double")

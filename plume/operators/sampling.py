@@ -66,9 +66,9 @@ def select_first_n(df: DataFrame, group: str, hash_col: str, tie: str,
     keys = df.select(group, hash_col, tie).checkpoint(eager=True)
 
     sizes = keys.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    n_groups = sizes.count()  # one row per group, read from the checkpointed keys
     need = (need_from_sizes(sizes).select(group, F.col("need").cast("long").alias("need"))
-            .join(sizes, group).checkpoint(eager=True))
-    n_groups = need.count()
+            .join(sizes, group))
     per_group = F.broadcast if n_groups <= MAX_BROADCAST_ROWS else (lambda d: d)
     active = need.filter(F.col("need") > 0)
 

@@ -307,7 +307,9 @@ def q_stratified_split(spark, sf):
 
 
 def q_encode_tokens(spark, sf):
-    split = _s2split(spark, sf)
+    # the prepared training set is read twice (vocabulary, encoding): write
+    # it once to the shared checkpoint folder instead of recomputing it
+    split = _s2split(spark, sf).select("row_id", "text", "label").checkpoint(eager=True)
     vocab = T.learn_vocabulary(split, "text", size=2000)
     enc = T.encode_tokens(split, vocab, "text", carry=("label",))
     return enc.select("row_id", "label", F.array_join("input_ids", " ").alias("input_ids"),
