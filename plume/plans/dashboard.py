@@ -31,3 +31,21 @@ def category_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("current_soe", round9(ratio_positive(F.col("current_comment_likes").cast("double"),
                                                              den.cast("double"))))
             .orderBy("Predicted_Category"))
+
+
+def materialize_enriched(spark: SparkSession, sf_dir: str, path: str | None = None,
+                         rows_per_file: int = 10_000) -> str:
+    """Run the enrichment once and write the enriched table as Parquet in the
+    shared folder (or ``path``), in files of at most ``rows_per_file`` rows.
+
+    This is the production shape of the dashboard: labelling reads every
+    text once, and each tile afterwards reads only its own columns from
+    Parquet (column pruning and predicate pushdown at the scan).  Returns
+    the path; read it back with ``spark.read.parquet(path)``.
+    """
+    from ..session import scratch_path
+    from ..sources.sinks import write_parquet_chunks
+
+    out = path or scratch_path(spark, "enriched")
+    write_parquet_chunks(FX.enriched(spark, sf_dir), out, rows_per_file)
+    return out
