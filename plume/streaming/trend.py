@@ -27,10 +27,15 @@ def event_stream(spark: SparkSession, landing_dir: str, max_files: int = 16) ->
 
 def trend_counts(events: DataFrame, window: str = "1 day", watermark: str = "1 hour",
                  key: str = "event_type", ts: str = "ts") -> DataFrame:
-    """Counts per (window, key).  A TIMESTAMP_NTZ event time is read as a
-    session-time-zone timestamp (watermarks need TIMESTAMP)."""
+    """Counts per (window, key).  Watermarks need a TIMESTAMP; a
+    TIMESTAMP_NTZ event time is turned into the instant with the same UTC
+    wall clock, so day windows start at the NTZ midnights whatever the
+    session time zone is."""
     if events.schema[ts].dataType.typeName() == "timestamp_ntz":
-        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+        c = F.col(ts)
+        events = events.withColumn(ts, F.make_timestamp(
+            F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+            F.expr(f"extract(SECOND FROM `{ts}`)"), F.lit("UTC")))
     return (events.withWatermark(ts, watermark)
             .groupBy(F.window(ts, window), key)
             .agg(F.count(F.lit(1)).alias("count")))
@@ -46,9 +51,14 @@ def run_trend_stream(spark: SparkSession, landing_dir: str, out: str | None = No
                      window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     out = out or scratch_path(spark, "stream-trend")
 
+    session_tz = spark.conf.get("spark.sql.session.timeZone")
+
+    def utc_wall_clock(col: str):
+        return F.convert_timezone(F.lit(session_tz), F.lit("UTC"), F.col(col).cast("timestamp_ntz"))
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+        (batch.select(utc_wall_clock("window.start").alias("window_start"),
+                      utc_wall_clock("window.end").alias("window_end"),
                       "event_type", "count")
          .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
 

@@ -62,3 +62,19 @@ def test_trend_watermark_drops_late_rows(spark):
     # Spark filters late input with the previous batch's watermark: the Jan 1
     # row of the third file is behind it (Jan 3 09:00) and is dropped
     assert counts == {"2024-01-01": 1, "2024-01-03": 2}
+
+
+def test_trend_stream_independent_of_session_time_zone(spark):
+    from plume.streaming.trend import run_trend_stream
+    ev = spark.read.parquet(f"{SF0001}/events.parquet")
+    ref = {(r.d, r.event_type): r.n for r in ev.groupBy(F.to_date("ts").alias("d"), "event_type")
+           .agg(F.count(F.lit(1)).alias("n")).collect()}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got = {(r.window_start.date(), r.event_type): r["count"] for r in run_trend_stream(spark, SF0001).collect()}
+        starts = {r.window_start.time() for r in run_trend_stream(spark, SF0001).select("window_start").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == ref
+    assert starts == {__import__("datetime").time(0, 0)}
