@@ -83,15 +83,13 @@ def category_options(df: DataFrame) -> DataFrame:
 
 def filter_options(df: DataFrame) -> DataFrame:
     """Distinct values offered by the explorer's three filters, long form
-    (filter_column, value); null kept as a selectable value."""
-    parts = [
-        df.select(F.lit(c).alias("filter_column"), F.col(c).cast("string").alias("value")).distinct()
-        for c in ("isProductRelated", "Predicted_Category", "predicted_sentiment")
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    (filter_column, value); null kept as a selectable value.  One pass: each
+    row is exploded into its three (column, value) pairs, then one distinct
+    (partial aggregation per task) instead of three scans and a union."""
+    cols = ("isProductRelated", "Predicted_Category", "predicted_sentiment")
+    pairs = F.array(*[F.struct(F.lit(c).alias("filter_column"), F.col(c).cast("string").alias("value"))
+                      for c in cols])
+    return df.select(F.inline(pairs)).distinct()
 
 
 def weak_label_distribution(labelled: DataFrame, column: str = "category") -> DataFrame:

@@ -93,12 +93,12 @@ def gated_pipeline(df: DataFrame, sentiment: DataFrame | None = None,
     ``sentiment``: optional (key, predicted_sentiment) scorer output, joined
     to the related rows only.  Output: key, is_related, category, sentiment.
     """
-    rel = keyword_relevance(df.select(key, text), text)
-    related = rel.filter(F.col("is_related")).drop("is_related")
-    unrelated = rel.filter(~F.col("is_related")).select(key)
+    d = with_scores(df.select(key, text), text).withColumn("is_related", keyword_relevant(MATCHES))
+    related = d.filter(F.col("is_related"))
+    unrelated = d.filter(~F.col("is_related")).select(key)
 
-    scored = weak_labels(related, text, "category").select(
-        key, F.lit(True).alias("is_related"), "category")
+    # the category reads the match array the relevance test already built
+    scored = related.select(key, F.lit(True).alias("is_related"), label_of(SCORES).alias("category"))
     if sentiment is not None:
         scored = scored.join(sentiment.select(key, F.col("predicted_sentiment").alias("sentiment")), key, "left")
     else:
