@@ -53,7 +53,7 @@ def relevance_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced stage-1 data (text, label 0/1) with the exact split."""
     src = T.training_source(FX.enriched(spark, sf_dir))
     balanced = T.balance_classes(src)
-    return T.stratified_split(T.train_columns(balanced), "label")
+    return T.stratified_split(T.train_columns(balanced).checkpoint(eager=True), "label")
 
 
 def category_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def category_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = T.stage2_labelled(T.training_source(FX.enriched(spark, sf_dir)))
     ids = T.label_ids(lab)
     enc = T.label_encode(lab, ids).select("row_id", F.col("cleaned_text").alias("text"), "category", "label")
-    return T.stratified_split(enc, "label")
+    # written once: the split's passes read the prepared set, not the labelling
+    return T.stratified_split(enc.checkpoint(eager=True), "label")
 
 
 def _fit_and_predict(data: DataFrame, reg: float = 0.0) -> DataFrame:

@@ -51,7 +51,10 @@ def _s2enc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _s2split(spark: SparkSession, sf: str) -> DataFrame:
-    return T.stratified_split(_s2enc(spark, sf), "label")
+    # the prepared stage-2 set (two labelling passes, label ids, join) is
+    # written once to the shared checkpoint folder; the split's passes and
+    # its final join then read that instead of recomputing the labels
+    return T.stratified_split(_s2enc(spark, sf).checkpoint(eager=True), "label")
 
 
 def _explorer_mask():
