@@ -102,3 +102,62 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = spark.createDataFrame(rows, "reg_param double, f1 double")
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     return cand.withColumn("is_best", F.col("reg_param") == F.lit(best))
+
+
+def score(model, df: DataFrame, prefix: str) -> DataFrame:
+    """Apply a fitted text pipeline: key + ``<prefix>_id`` (class index) and
+    ``<prefix>_score`` (probability of that class, the stage's confidence)."""
+    p = model.transform(df)
+    return p.select("row_id", F.col("prediction").cast("int").alias(f"{prefix}_id"),
+                    F.array_max(vector_to_array("probability")).alias(f"{prefix}_score"))
+
+
+def sentiment_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments with a known sentiment (text, label = index in SENTIMENTS)."""
+    from ..functions.fixed_values import SENTIMENTS
+    from ..functions.text import normalize_text
+
+    e = FX.enriched(spark, sf_dir)
+    idx = F.create_map(*[x for i, s in enumerate(SENTIMENTS) for x in (F.lit(s), F.lit(i))])
+    d = (e.filter(F.col("predicted_sentiment").isin(SENTIMENTS))
+         .select("row_id", normalize_text("textOriginal").alias("text"),
+                 idx[F.col("predicted_sentiment")].alias("label")))
+    return T.stratified_split(d.checkpoint(eager=True), "label")
+
+
+def gated_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-stage enrichment with Spark ML scorers.
+
+    Stage 1 (relevance) scores every comment; only the related ones are
+    passed on (filter first, so stages 2 and 3 never run on the rest); stage
+    2 (category) and stage 3 (sentiment) score them; the unrelated rows are
+    added back by a union.  Each stage reports its confidence.
+    """
+    from ..functions.fixed_values import SENTIMENTS
+    from ..functions.text import normalize_text
+
+    def fit(data: DataFrame):
+        return text_pipeline().fit(_prepare(data.filter(F.col("split") == "train")))
+
+    rel_model = fit(relevance_data(spark, sf_dir))
+    cat_data = category_data(spark, sf_dir)
+    cat_model = fit(cat_data)
+    sent_model = fit(sentiment_data(spark, sf_dir))
+
+    comments = FX.enriched(spark, sf_dir).select(
+        "row_id", normalize_text("textOriginal").alias("text")).checkpoint(eager=True)
+    s1 = score(rel_model, comments, "relevance")
+    related = comments.join(s1.filter(F.col("relevance_id") == 1), "row_id")
+    names = cat_data.select(F.col("label").alias("category_id"), "category").distinct()
+    s2 = score(cat_model, related, "category").join(F.broadcast(names), "category_id", "left")
+    sent_names = F.array(*[F.lit(s) for s in SENTIMENTS])
+    s3 = score(sent_model, related, "sentiment").select(
+        "row_id", F.element_at(sent_names, F.col("sentiment_id") + 1).alias("sentiment"), "sentiment_score")
+    gated = (s2.join(s3, "row_id").join(s1.select("row_id", "relevance_score"), "row_id")
+             .select("row_id", F.lit("Yes").alias("is_related"), "category", "sentiment",
+                     "relevance_score", "category_score", "sentiment_score"))
+    skipped = s1.filter(F.col("relevance_id") != 1).select(
+        "row_id", F.lit("No").alias("is_related"), F.lit(None).cast("string").alias("category"),
+        F.lit(None).cast("string").alias("sentiment"), "relevance_score",
+        F.lit(None).cast("double").alias("category_score"), F.lit(None).cast("double").alias("sentiment_score"))
+    return gated.unionByName(skipped)

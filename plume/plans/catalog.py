@@ -376,6 +376,11 @@ def q_evaluate_holdout(spark, sf):
     return evaluate_holdout(spark, sf)
 
 
+def q_gated_ml(spark, sf):
+    from ..operators.ml import gated_ml
+    return gated_ml(spark, sf)
+
+
 def q_best_candidate(spark, sf):
     from ..operators.ml import best_candidate
     return best_candidate(spark, sf)
