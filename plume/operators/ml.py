@@ -58,11 +58,12 @@ def relevance_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage-2 weak-labelled data (text, label id) with the exact split."""
-    lab = T.stage2_labelled(T.training_source(FX.enriched(spark, sf_dir)))
+    # written once: the label ids, the join and the split's passes read the
+    # labelled set instead of recomputing the labelling
+    lab = T.stage2_labelled(T.training_source(FX.enriched(spark, sf_dir))).checkpoint(eager=True)
     ids = T.label_ids(lab)
     enc = T.label_encode(lab, ids).select("row_id", F.col("cleaned_text").alias("text"), "category", "label")
-    # written once: the split's passes read the prepared set, not the labelling
-    return T.stratified_split(enc.checkpoint(eager=True), "label")
+    return T.stratified_split(enc, "label")
 
 
 def _fit_and_predict(data: DataFrame, reg: float = 0.0) -> DataFrame:

@@ -44,17 +44,29 @@ def _s2(spark: SparkSession, sf: str) -> DataFrame:
     return T.stage2_labelled(_src(spark, sf))
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(row_id, textOriginal) of the comments that survive cleaning - the
+    same rows as the enriched view, for text-only operators that need no
+    labels (so no labelling pass runs for them)."""
+    return C.drop_missing_text(FX.comments(spark, sf)).select("row_id", "textOriginal")
+
+
+def _s2labelled(spark: SparkSession, sf: str) -> DataFrame:
+    # read twice (label-id table and the join): written once to the shared
+    # checkpoint folder instead of labelling twice
+    return _s2(spark, sf).checkpoint(eager=True)
+
+
 def _s2enc(spark: SparkSession, sf: str) -> DataFrame:
-    lab = _s2(spark, sf)
+    lab = _s2labelled(spark, sf)
     ids = T.label_ids(lab)
     return T.label_encode(lab, ids).select("row_id", F.col("cleaned_text").alias("text"), "category", "label")
 
 
 def _s2split(spark: SparkSession, sf: str) -> DataFrame:
-    # the prepared stage-2 set (two labelling passes, label ids, join) is
-    # written once to the shared checkpoint folder; the split's passes and
-    # its final join then read that instead of recomputing the labels
-    return T.stratified_split(_s2enc(spark, sf).checkpoint(eager=True), "label")
+    # built on the checkpointed labelled set: the split's passes and its
+    # final join do not recompute the labels
+    return T.stratified_split(_s2enc(spark, sf), "label")
 
 
 def _explorer_mask():
@@ -122,7 +134,7 @@ def q_share_of_engagement(spark, sf):
 
 
 def q_normalize_text(spark, sf):
-    return _e(spark, sf).select("row_id", normalize_text("textOriginal").alias("cleaned_text"))
+    return _texts(spark, sf).select("row_id", normalize_text("textOriginal").alias("cleaned_text"))
 
 
 def q_keyword_hits(spark, sf):
@@ -157,7 +169,7 @@ def q_label_encode(spark, sf):
 
 
 def q_label_decode(spark, sf):
-    lab = _s2(spark, sf)
+    lab = _s2labelled(spark, sf)
     ids = T.label_ids(lab)
     enc = T.label_encode(lab, ids).select(
         "row_id", F.concat(F.lit("LABEL_"), F.col("label").cast("string")).alias("model_label"))
@@ -185,7 +197,7 @@ def q_explorer_search(spark, sf):
 
 
 def q_spam_filter(spark, sf):
-    return T.spam_flags(_e(spark, sf))
+    return T.spam_flags(_texts(spark, sf))
 
 
 # --- aggregates --------------------------------------------------------------
@@ -248,7 +260,7 @@ def q_category_scores(spark, sf):
 
 
 def q_top_terms(spark, sf):
-    return A.top_terms(_e(spark, sf), k=50)
+    return A.top_terms(_texts(spark, sf), k=50)
 
 
 # --- top-k -------------------------------------------------------------------
