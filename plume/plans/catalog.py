@@ -142,7 +142,7 @@ def q_keyword_hits(spark, sf):
 
 
 def q_brand_tags(spark, sf):
-    return L.brand_columns(_e(spark, sf)).select("row_id", "brands")
+    return L.brand_columns(_texts(spark, sf)).select("row_id", "brands")
 
 
 def q_display_labels(spark, sf):
@@ -255,7 +255,7 @@ def q_category_examples(spark, sf):
 
 
 def q_category_scores(spark, sf):
-    return L.category_score_columns(_e(spark, sf)).select(
+    return L.category_score_columns(_texts(spark, sf)).select(
         "row_id", *[f"score_{c}" for c in O.CATS])
 
 
@@ -289,20 +289,20 @@ def q_explorer_sort(spark, sf):
 # --- labelling ---------------------------------------------------------------
 
 def q_keyword_relevance(spark, sf):
-    return L.keyword_relevance(_e(spark, sf)).select("row_id", "is_related")
+    return L.keyword_relevance(_texts(spark, sf)).select("row_id", "is_related")
 
 
 def q_gated_pipeline(spark, sf):
     sent = FX.sentiment_from_labels(read_table(spark, sf, "labels", ["doc_id", "quality", "toxic"]))
-    return L.gated_pipeline(_e(spark, sf), sentiment=sent)
+    return L.gated_pipeline(_texts(spark, sf), sentiment=sent)
 
 
 def q_analyze_comments(spark, sf):
-    return L.analyze_comments(_e(spark, sf))
+    return L.analyze_comments(_texts(spark, sf))
 
 
 def q_confidence(spark, sf):
-    return L.confidence(_e(spark, sf)).select("row_id", "category", "confidence")
+    return L.confidence(_texts(spark, sf)).select("row_id", "category", "confidence")
 
 
 def q_argmax_label(spark, sf):
@@ -334,7 +334,7 @@ def q_encode_tokens(spark, sf):
 # --- metrics -----------------------------------------------------------------
 
 def q_metrics_binary(spark, sf):
-    e = L.keyword_relevance(_e(spark, sf))
+    e = L.keyword_relevance(_texts(spark, sf))
     lab = read_table(spark, sf, "labels", ["doc_id", "quality"])
     y = lab.join(e.select("row_id", "is_related"), lab.doc_id == e.row_id).select(
         F.col("quality").alias("label"), F.col("is_related").cast("int").alias("prediction"))
@@ -342,7 +342,7 @@ def q_metrics_binary(spark, sf):
 
 
 def q_metrics_weighted(spark, sf):
-    d = L.with_scores(_e(spark, sf).select("row_id", "textOriginal"), "textOriginal")
+    d = L.with_scores(_texts(spark, sf), "textOriginal")
     from ..functions.labels import first_hit_of, label_of
     y = d.select(label_of(L.SCORES).alias("label"), first_hit_of(L.SCORES).alias("prediction"))
     return M.weighted_metrics(y)
