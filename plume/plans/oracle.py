@@ -154,10 +154,6 @@ def r9(x: str) -> str:
     return ROUND.format(x=x)
 
 
-def _winner_share(scored: str) -> str:
-    return scored
-
-
 SCENARIO_SQL = """
 totals AS (
   SELECT Predicted_Category AS category,
@@ -471,5 +467,4 @@ SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
        event_type, count(*) AS count
 FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3""",
     }
-    sql["top_terms"] = sql["top_terms"]
     return sql
