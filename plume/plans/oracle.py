@@ -231,7 +231,8 @@ WHERE isProductRelated IS DISTINCT FROM 'Product Related'"""),
         "coerce_counts": q("SELECT row_id, likeCount_comment, likeCount_video, favouriteCount, commentCount FROM e"),
         "require_columns": q("""
 SELECT row_id, coalesce(try_cast(likeCount_comment AS DOUBLE), 0) AS likeCount_comment,
-  0.0 AS likeCount_video, 0.0 AS favouriteCount, 0.0 AS commentCount
+  CAST(0.0 AS DOUBLE) AS likeCount_video, CAST(0.0 AS DOUBLE) AS favouriteCount,
+  CAST(0.0 AS DOUBLE) AS commentCount
 FROM comments WHERE textOriginal IS NOT NULL"""),
         "share_of_engagement": q("SELECT row_id, comment_share_of_engagement FROM e"),
         "normalize_text": q(f"SELECT row_id, {norm('textOriginal')} AS cleaned_text FROM e"),
@@ -355,7 +356,7 @@ SELECT e.row_id, e.textOriginal AS comment,
   CASE WHEN r.rel THEN 'Yes' ELSE 'No' END AS is_related,
   CASE WHEN r.rel THEN coalesce(b.category, 'unlabeled') ELSE 'N/A' END AS category,
   CASE WHEN r.rel THEN coalesce(bt.brands, {_q(NO_BRAND)}) ELSE 'N/A' END AS brands,
-  1.0 AS relevance_score,
+  CAST(1.0 AS DOUBLE) AS relevance_score,
   CASE WHEN r.rel AND tot.total > 0 THEN CAST(tot.top AS DOUBLE) / tot.total END AS category_score
 FROM e JOIN related r ON e.row_id = r.row_id
 LEFT JOIN best b ON e.row_id = b.row_id LEFT JOIN tot ON e.row_id = tot.row_id
@@ -455,7 +456,7 @@ SELECT c.row_id, c.textOriginal AS comment,
   CASE WHEN r.rel THEN 'Yes' ELSE 'No' END AS is_related,
   CASE WHEN r.rel THEN coalesce(b.category, 'unlabeled') ELSE 'N/A' END AS category,
   CASE WHEN r.rel THEN coalesce(bt.brands, {_q(NO_BRAND)}) ELSE 'N/A' END AS brands,
-  1.0 AS relevance_score,
+  CAST(1.0 AS DOUBLE) AS relevance_score,
   CASE WHEN r.rel AND tot.total > 0 THEN CAST(tot.top AS DOUBLE) / tot.total END AS category_score
 FROM comments c JOIN related r ON c.row_id = r.row_id
 LEFT JOIN best b ON c.row_id = b.row_id LEFT JOIN tot ON c.row_id = tot.row_id
