@@ -78,3 +78,10 @@ def test_trend_stream_independent_of_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == ref
     assert starts == {__import__("datetime").time(0, 0)}
+
+
+def test_enrich_stream_restart_is_exactly_once(spark):
+    out = scratch_path(spark, "restart")
+    first = run_enrich_stream(spark, SF0001, out=out).count()
+    again = run_enrich_stream(spark, SF0001, out=out).count()   # same checkpoint: nothing new
+    assert first == again == FX.comments(spark, SF0001).na.drop(subset=["textOriginal"]).count()
