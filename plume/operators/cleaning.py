@@ -33,11 +33,10 @@ def drop_missing_text(df: DataFrame, subset: tuple[str, ...] = ("textOriginal",)
 
 
 def fill_labels(df: DataFrame) -> DataFrame:
-    """Null category -> '[Not Applicable]', null sentiment -> 'others'."""
-    return df.withColumns({
-        "Predicted_Category": F.coalesce(F.col("Predicted_Category"), F.lit(NOT_APPLICABLE)),
-        "predicted_sentiment": F.coalesce(F.col("predicted_sentiment"), F.lit(SENTIMENT_FILL)),
-    })
+    """Null category -> '[Not Applicable]', null sentiment -> 'others'
+    (for the label columns the table has)."""
+    fills = {"Predicted_Category": NOT_APPLICABLE, "predicted_sentiment": SENTIMENT_FILL}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items() if c in df.columns})
 
 
 def coerce_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -118,7 +118,7 @@ def q_fill_labels(spark, sf):
 
 
 def q_coerce_counts(spark, sf):
-    raw = C.drop_missing_text(FX.raw_enriched(spark, sf))
+    raw = C.drop_missing_text(FX.raw_base(spark, sf))
     return C.coerce_counts(raw).select("row_id", "likeCount_comment", "likeCount_video",
                                        "favouriteCount", "commentCount")
 
@@ -130,7 +130,7 @@ def q_require_columns(spark, sf):
 
 
 def q_share_of_engagement(spark, sf):
-    return _e(spark, sf).select("row_id", C.SOE_COLUMN)
+    return FX.enriched_base(spark, sf).select("row_id", C.SOE_COLUMN)
 
 
 def q_normalize_text(spark, sf):
@@ -203,7 +203,7 @@ def q_spam_filter(spark, sf):
 # --- aggregates --------------------------------------------------------------
 
 def q_sentiment_overview(spark, sf):
-    return A.sentiment_overview(_e(spark, sf))
+    return A.sentiment_overview(FX.enriched_base(spark, sf))
 
 
 def q_relevance_ratio(spark, sf):

@@ -145,6 +145,25 @@ def _raw_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.join(sent, "row_id", "left")
 
 
+def raw_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported table without the category/relevance labels (comments,
+    video engagement, sentiment): for queries that never read the labels,
+    so no labelling pass runs for them."""
+    def build():
+        from ..operators.joins import integrate_videos
+        joined = integrate_videos(comments(spark, sf_dir), videos(spark, sf_dir))
+        sent = sentiment_from_labels(read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]))
+        return joined.join(sent, "row_id", "left")
+    return _memo("raw_base", spark, sf_dir, build)
+
+
+def enriched_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``enriched`` without the label columns (same rows, same values)."""
+    from ..operators.cleaning import clean
+
+    return _memo("enriched_base", spark, sf_dir, lambda: clean(raw_base(spark, sf_dir)))
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned comment table with row SOE (the dashboard's input)."""
     from ..operators.cleaning import clean
