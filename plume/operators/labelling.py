@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CATEGORY_KEYWORDS
+from ..functions.text import is_blank
 from ..functions.labels import (brand_list, first_hit_of, keyword_relevant, label_of,
                                 relevance_terms, score_of, score_structs, term_matches,
                                 winner_share_of)
@@ -93,7 +94,9 @@ def gated_pipeline(df: DataFrame, sentiment: DataFrame | None = None,
     ``sentiment``: optional (key, predicted_sentiment) scorer output, joined
     to the related rows only.  Output: key, is_related, category, sentiment.
     """
-    d = with_scores(df.select(key, text), text).withColumn("is_related", keyword_relevant(MATCHES))
+    # blank input is not classified at all (the sandbox's empty-text check)
+    d = with_scores(df.select(key, text).filter(~is_blank(text)), text) \
+        .withColumn("is_related", keyword_relevant(MATCHES))
     related = d.filter(F.col("is_related"))
     unrelated = d.filter(~F.col("is_related")).select(key)
 
@@ -114,7 +117,7 @@ def analyze_comments(df: DataFrame, text: str = "textOriginal", key: str = "row_
     brands joined or 'N/A', relevance_score, category_score (null when
     unrelated).  Lexicon scorers: relevance_score is 1.0 (a rule is certain),
     category_score is the winner's share of keyword hits."""
-    d = with_scores(df.select(key, text), text)
+    d = with_scores(df.select(key, text).filter(~is_blank(text)), text)   # blank input: not classified
     d = d.withColumn("_rel", keyword_relevant(MATCHES))
     rel = F.col("_rel")
     return d.select(

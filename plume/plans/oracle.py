@@ -347,7 +347,8 @@ SELECT e.row_id, r.rel AS is_related,
   CASE WHEN r.rel THEN coalesce(b.category, 'unlabeled') END AS category,
   CASE WHEN r.rel THEN s.predicted_sentiment END AS sentiment
 FROM e JOIN related r ON e.row_id = r.row_id
-LEFT JOIN best b ON e.row_id = b.row_id LEFT JOIN sentiment s ON e.row_id = s.row_id"""),
+LEFT JOIN best b ON e.row_id = b.row_id LEFT JOIN sentiment s ON e.row_id = s.row_id
+WHERE trim(e.textOriginal) <> ''"""),
         "analyze_comments": q(f"""
 , tot AS (SELECT row_id, sum(score) AS total, max(score) AS top FROM scored GROUP BY row_id),
 bt AS (SELECT e.row_id, string_agg(b.brand, ', ' ORDER BY b.brand_id) AS brands
@@ -360,7 +361,8 @@ SELECT e.row_id, e.textOriginal AS comment,
   CASE WHEN r.rel AND tot.total > 0 THEN CAST(tot.top AS DOUBLE) / tot.total END AS category_score
 FROM e JOIN related r ON e.row_id = r.row_id
 LEFT JOIN best b ON e.row_id = b.row_id LEFT JOIN tot ON e.row_id = tot.row_id
-LEFT JOIN bt ON e.row_id = bt.row_id"""),
+LEFT JOIN bt ON e.row_id = bt.row_id
+WHERE trim(e.textOriginal) <> ''"""),
         "confidence": q("""
 , tot AS (SELECT row_id, sum(score) AS total, max(score) AS top FROM scored GROUP BY row_id)
 SELECT e.row_id, coalesce(b.category, 'unlabeled') AS category,
@@ -461,7 +463,7 @@ SELECT c.row_id, c.textOriginal AS comment,
 FROM comments c JOIN related r ON c.row_id = r.row_id
 LEFT JOIN best b ON c.row_id = b.row_id LEFT JOIN tot ON c.row_id = tot.row_id
 LEFT JOIN bt ON c.row_id = bt.row_id
-WHERE c.textOriginal IS NOT NULL"""),
+WHERE c.textOriginal IS NOT NULL AND trim(c.textOriginal) <> ''"""),
         "stream_trend": """
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
        time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,

@@ -127,3 +127,8 @@ def test_golden_comments(spark):
     assert rec[6].is_related == "Yes" and rec[6].brands == "l'oréal, elvive"
     assert rec[12].is_related == "No" and rec[12].category == "N/A" and rec[12].category_score is None
     assert rec[8].category_score == 0.5          # lotion 1 : fragrance 1
+
+
+def test_blank_input_is_not_classified(spark):
+    df = spark.createDataFrame([(1, "   "), (2, ""), (3, "a toner")], "row_id long, t string")
+    assert [r.row_id for r in analyze_comments(df, "t").collect()] == [3]
