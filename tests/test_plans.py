@@ -30,3 +30,28 @@ def test_materialized_table_prunes_text(spark):
     plan = _plan(sentiment_overview(e))
     assert "textOriginal" not in plan.split("ReadSchema:")[1].split("\n")[0]
     assert sentiment_overview(e).agg(F.sum("count")).first()[0] == e.count()
+
+
+def test_spread_is_noop_for_wide_scans(spark):
+    from plume.sources.tables import spread
+    wide = spark.range(0, 1000, 1, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert "Exchange" not in _plan(spread(wide, "id"))
+    narrow = spark.range(0, 1000, 1, numPartitions=1)
+    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_bounded_broadcast_respects_the_bound(spark):
+    from plume.operators.joins import bounded_broadcast
+    big = spark.range(0, 50, 1).withColumnRenamed("id", "k")
+    small = spark.range(0, 5, 1).withColumnRenamed("id", "k")
+    facts = spark.range(0, 1000, 1).select((F.col("id") % 50).alias("k"))
+    with_small = _plan(facts.join(bounded_broadcast(small, max_rows=10), "k"))
+    assert "BroadcastHashJoin" in with_small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        over = facts.join(bounded_broadcast(big, max_rows=10), "k")
+        assert "BroadcastHashJoin" not in over._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")
