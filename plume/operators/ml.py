@@ -89,17 +89,22 @@ def evaluate_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pick regParam by weighted F1 on a validation split of the training
-    rows (the 'load best model at end by f1' rule)."""
-    data = category_data(spark, sf_dir).persist()
+    rows (the 'load best model at end by f1' rule).  The feature stages
+    (tokenizer, TF, IDF) are fitted once and their output persisted; only
+    the logistic regression is tuned, the candidates in parallel."""
+    data = category_data(spark, sf_dir)
     train = _prepare(data.filter(F.col("split") == "train"))
-    pipe = text_pipeline()
-    lr = pipe.getStages()[-1]
+    stages = text_pipeline().getStages()
+    features = Pipeline(stages=stages[:-1]).fit(train)
+    featurized = features.transform(train).select("features", "label_d").persist()
+    lr = stages[-1]
     grid = ParamGridBuilder().addGrid(lr.regParam, REG_GRID).build()
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid,
+    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid,
                                evaluator=MulticlassClassificationEvaluator(labelCol="label_d", metricName="f1"),
                                trainRatio=0.8, seed=42, parallelism=len(REG_GRID))
-    fitted = tvs.fit(train)
+    fitted = tvs.fit(featurized)
     rows = [(float(pm[lr.regParam]), float(m)) for pm, m in zip(grid, fitted.validationMetrics)]
+    featurized.unpersist()
     cand = spark.createDataFrame(rows, "reg_param double, f1 double")
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     return cand.withColumn("is_best", F.col("reg_param") == F.lit(best))
