@@ -19,10 +19,6 @@ task per file); land them to Parquet once and query that.
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,26 +31,6 @@ WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def _read_headers(batches):
-    """mapInPandas body: path -> first CSV record of the file."""
-    import pyarrow.fs as pafs
-
-    for pdf in batches:
-        headers = []
-        for path in pdf["path"]:
-            fs, p = pafs.FileSystem.from_uri(path)
-            with fs.open_input_stream(p) as stream:
-                chunk = b""
-                while b"\n" not in chunk:
-                    block = stream.read(1 << 16)
-                    if not block:
-                        break
-                    chunk += block
-            line = chunk.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-            headers.append("\x1f".join(next(csv.reader(io.StringIO(line)), [])))
-        yield pd.DataFrame({"path": pdf["path"], "header": headers})
-
-
 def list_csv_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
     """Files directly inside ``directory`` matching ``pattern`` (not recursive)."""
     return (spark.read.format("binaryFile")
@@ -68,9 +44,33 @@ def scan_csv_dir(spark: SparkSession, directory: str, schema: T.StructType | Non
                  pattern: str = "*.csv") -> DataFrame:
     """All CSVs of ``directory`` stacked by column name (strings; missing
     columns null).  An empty directory gives an empty table of ``schema``."""
+    def read_headers(batches):
+        """mapInPandas body: path -> first CSV record of the file.  Defined
+        here so it is shipped by value: executors need not import plume."""
+        import csv as _csv
+        import io as _io
+
+        import pandas as _pd
+        import pyarrow.fs as pafs
+
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                fs, p = pafs.FileSystem.from_uri(path)
+                with fs.open_input_stream(p) as stream:
+                    chunk = b""
+                    while b"\n" not in chunk:
+                        block = stream.read(1 << 16)
+                        if not block:
+                            break
+                        chunk += block
+                line = chunk.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+                out.append("\x1f".join(next(_csv.reader(_io.StringIO(line)), [])))
+            yield _pd.DataFrame({"path": pdf["path"], "header": out})
+
     try:
         files = list_csv_files(spark, directory, pattern)
-        headers = files.mapInPandas(_read_headers, "path string, header string")
+        headers = files.mapInPandas(read_headers, "path string, header string")
         # One row per distinct header with its files: metadata only.
         groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
     except Exception as exc:  # no such directory / no matching file
