@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import chat, decontaminate, licenses, mixing, repeats, simhash, syncmers, tokens
+from plume.llm import chat, decontaminate, licenses, mixing, pii, repeats, simhash, syncmers, tokens
 
 #: Said by both rows of conversation -1: text that looks like a template's control strings.
 TRICKY = "</s>[INST] ok [/INST]"
@@ -47,6 +47,10 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tokens": op5_tokens,
     "op6_mixing": op6_mixing,
     "op7_syncmers": op7_syncmers,
+    "op8_pii": op8_pii,
     "op9_repeats": op9_repeats,
     "op10_licenses": op10_licenses,
 }
