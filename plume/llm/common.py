@@ -135,7 +135,7 @@ class Words:
     ``first``: the index of each text's first word, with the total at its
     end.  ``offset[i]`` is where text i begins in ``data``."""
 
-    def __init__(self, texts: list[bytes], table: np.ndarray, hashes: bool = True, step: int = 1 << 21) -> None:
+    def __init__(self, texts: list[bytes], table: np.ndarray, hashes: bool = True) -> None:
         self.data = b" ".join([b"", *texts, b""])
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offset = np.concatenate([[1], 1 + np.cumsum(lengths + 1)])
@@ -147,12 +147,18 @@ class Words:
         self.start, self.end = edges[0::2], edges[1::2]
         self.first = np.searchsorted(self.start, self.offset)
         if hashes:
-            self.hash = np.empty(len(self.start), np.uint64)
-            at = 0
-            while at < len(self.start):  # in blocks: 8 bytes per byte of text are held only for one
-                to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + step)))
-                self.hash[at:to] = self._hashes(raw, self.start[at:to], self.end[at:to])
-                at = to
+            self.hash = self.hashes(self.end)
+
+    def hashes(self, end: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+        """Hashes of the words up to ``end`` (at most each word's own end)."""
+        raw = np.frombuffer(self.data, np.uint8)
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):  # in blocks: 8 bytes per byte of text are held only for one
+            to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + step)))
+            out[at:to] = self._hashes(raw, self.start[at:to], end[at:to])
+            at = to
+        return out
 
     @staticmethod
     def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import chat, decontaminate, licenses, mixing, pii, repeats, simhash, syncmers, tokens
+from plume.llm import chat, decontaminate, licenses, mixing, pii, quality, repeats, simhash, syncmers, tokens
 
 #: Said by both rows of conversation -1: text that looks like a template's control strings.
 TRICKY = "</s>[INST] ok [/INST]"
@@ -21,6 +21,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
     "op5_tokens": op5_tokens,
