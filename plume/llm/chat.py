@@ -27,6 +27,8 @@ smaller leaf id; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,19 +65,20 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     state = here.join(known, _same("parent", "up"), "left").select(
         "tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
     state = C.checkpoint(state)
-    rounds = []
+    rounds, done = [], [state.filter("up IS NULL")]
     while 2 ** len(rounds) <= 2 * max(1, count):
-        jump = state.filter("up IS NOT NULL").select("tree", "node", "up")
-        if jump.isEmpty():
+        rising = state.filter("up IS NOT NULL")
+        if rising.isEmpty():
             break
-        rounds.append(jump)
-        above = state.select(F.col("tree").alias("up_tree"), F.col("node").alias("up_node"), F.col("up").alias("up_up"),
+        rounds.append(rising.select("tree", "node", "up"))
+        # only messages that have not reached their root go on; those that have are looked up
+        above = _all(done).unionByName(rising).select(F.col("tree").alias("up_tree"), F.col("node").alias("up_node"), F.col("up").alias("up_up"),
                              F.col("total").alias("up_total"), F.col("length").alias("up_length"))
-        state = C.checkpoint(state.join(above, _same("up", "up_node"), "left").select(
-            "tree", "node", F.col("up_up").alias("up"),
-            (F.col("total") + F.coalesce("up_total", F.lit(0.0))).alias("total"),
-            (F.col("length") + F.coalesce("up_length", F.lit(0))).alias("length")))
-    ended = state.filter("up IS NULL")  # what still goes up after that many rounds is under a cycle
+        state = C.checkpoint(rising.join(above, _same("up", "up_node")).select(
+            "tree", "node", F.col("up_up").alias("up"), (F.col("total") + F.col("up_total")).alias("total"),
+            (F.col("length") + F.col("up_length")).alias("length")))
+        done.append(state.filter("up IS NULL"))
+    ended = _all(done)  # what still goes up after that many rounds is under a cycle
     parents = nodes.select(F.col("tree").alias("up_tree"), F.col("parent").alias("up_node")).distinct()
     leaves = ended.join(parents, _same("node", "up_node"), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), "node")
@@ -89,6 +92,10 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     return found.join(depth, _same("node", "up_node")).select("tree", "leaf", "node", "depth")
 
 
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def _same(node: str, up: str) -> Column:
     return F.col("tree").eqNullSafe(F.col("up_tree")) & (F.col(node) == F.col(up))
 
