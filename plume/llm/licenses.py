@@ -205,7 +205,7 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
             none = count == 0
             columns = [batch.column("doc_id"), w.counts(), count, pa.array(low, mask=none), pa.array(high, mask=none),
                        [",".join(sorted(base[i])) for i in range(n)], [",".join(sorted(labels[i])) for i in range(n)],
-                       np.minimum(score, 1.0)]
+                       np.round(np.minimum(score, 1.0), 9)]
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
 
