@@ -47,7 +47,6 @@ NOT_APPLICABLE = "[Not Applicable]"
 SENTIMENT_FILL = "others"
 PRODUCT_RELATED = "Product Related"
 NOT_PRODUCT_RELATED = "Not Product Related"
-RELEVANCE_ID2LABEL = {0: "Not Product Related", 1: "Product Related"}
 SENTIMENTS = ["positive", "neutral", "negative"]
 
 # Engagement columns of the enriched comment table; a missing one is added as 0.
@@ -58,9 +57,7 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
              "n/a", "nan", "null"]
 
-# Display formats used by the calculator and the top-k cards.
-SOE_PERCENT_DECIMALS = 4
-DELTA_PERCENT_DECIMALS = 2
+# Cards per list, tokens per encoded text.
 TOP_K = 5
 MAX_TOKENS = 128
 
@@ -79,8 +76,4 @@ def lexicon_rows():
     return rows
 
 
-def brand_rows():
-    return list(enumerate(BRANDS))
-
-
 CATEGORIES = list(CATEGORY_KEYWORDS)

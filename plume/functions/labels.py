@@ -94,11 +94,6 @@ def _count_sql(matches: str, words: list[str]) -> str:
     return f"coalesce(size(array_intersect({_ref(matches)}, {sql_array(list(dict.fromkeys(words)))})), 0)"
 
 
-def count_in(matches: str, words: list[str]) -> Column:
-    """How many distinct ``words`` are among the matches."""
-    return F.expr(_count_sql(matches, words))
-
-
 def score_structs(matches: str, lexicon: dict | None = None) -> Column:
     """array<struct<s:int, r:int, c:string>> in lexicon order."""
     lexicon = lexicon or CATEGORY_KEYWORDS
@@ -155,16 +150,6 @@ def keyword_relevant(matches: str) -> Column:
     return F.expr(f"coalesce(size({_ref(matches)}), 0) > 0")
 
 
-def fill_category(col: Column | str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c, F.lit(NOT_APPLICABLE))
-
-
 def argmax_index(arr: Column) -> Column:
     """0-based index of the first maximum of a numeric array."""
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
-
-
-def label_from_model_id(label: Column) -> Column:
-    """'LABEL_3' -> 3."""
-    return F.split(label, "_").getItem(1).cast("int")

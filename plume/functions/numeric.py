@@ -36,8 +36,11 @@ def ratio_positive(num: Column, den: Column) -> Column:
 
 
 def percent(col: Column, decimals: int) -> Column:
-    """Python ``{x:.Nf%}`` display: value x100 with N decimals and '%'."""
-    return F.format_string(f"%.{decimals}f%%", col * 100)
+    """Python ``{x:.N%}`` display: value x100 with N decimals and '%'.
+
+    ``format_number`` rounds the double's exact value, ties to even, as Python
+    does (``format_string`` rounds its shortest decimal form, ties up)."""
+    return F.concat(F.replace(F.format_number(col * 100, decimals), F.lit(","), F.lit("")), F.lit("%"))
 
 
 def thousands(col: Column) -> Column:
@@ -46,5 +49,5 @@ def thousands(col: Column) -> Column:
 
 
 def round9(col: Column) -> Column:
-    """Doubles compared across engines are rounded to 9 decimals."""
+    """For comparing doubles across engines (registered queries only)."""
     return F.round(col, 9)

@@ -27,16 +27,12 @@ def tokens(col: Column | str, keep: str = ASCII_WORD_CLASS) -> Column:
 
 
 def is_blank(col: Column | str) -> Column:
+    """Null, empty or white space of any kind only."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | ~c.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def title_case(col: Column | str) -> Column:
     """Display form of a label (``initcap``)."""
     c = F.col(col) if isinstance(col, str) else col
     return F.initcap(c)
-
-
-def contains_term(text_lower: Column, term: str) -> Column:
-    """Substring test (not a word match: 'gel' hits 'angel')."""
-    return text_lower.contains(term)

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import NOT_APPLICABLE, PRODUCT_RELATED, UNLABELED
-from ..functions.numeric import round9
 from ..functions.text import tokens
 from .cleaning import SOE_COLUMN
 
@@ -57,7 +56,7 @@ def mean_soe_by_category(df: DataFrame) -> DataFrame:
     """Mean of row SOE per category over product-related rows, descending."""
     return (product_comments(df)
             .groupBy("Predicted_Category")
-            .agg(round9(F.avg(SOE_COLUMN)).alias("mean_soe"))
+            .agg(F.avg(SOE_COLUMN).alias("mean_soe"))
             .na.drop(subset=["mean_soe"])
             .orderBy(F.desc("mean_soe"), F.asc("Predicted_Category")))
 

@@ -25,11 +25,6 @@ def explorer_mask(relevance: Iterable, categories: Iterable, sentiments: Iterabl
             & isin_with_null("predicted_sentiment", sentiments))
 
 
-def explorer_filter(df: DataFrame, relevance: Iterable, categories: Iterable,
-                    sentiments: Iterable) -> DataFrame:
-    return df.filter(explorer_mask(relevance, categories, sentiments))
-
-
 def explorer_counts(df: DataFrame, mask: Column) -> DataFrame:
     """'Displaying n of N rows' in one pass."""
     return df.agg(F.count_if(mask).alias("shown_rows"), F.count(F.lit(1)).alias("total_rows"))

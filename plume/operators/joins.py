@@ -1,52 +1,21 @@
 """Joins.
 
-Broadcast policy: a side is broadcast only when its size is bounded by
-construction (the fixed lexicon, a per-group table of a handful of classes
-that has been counted) or after ``bounded_broadcast`` has counted it.
-Everything else is left to the planner; with AQE on, a shuffled side that
-turns out small is switched to a broadcast at runtime and skewed partitions
-are split (``spark.sql.adaptive.skewJoin.enabled``).
+No side is force-broadcast: the planner broadcasts a side whose size it knows
+to be small, and with AQE on, a shuffled side that turns out small is switched
+to a broadcast at runtime and skewed partitions are split
+(``spark.sql.adaptive.skewJoin.enabled``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows above which a side is never broadcast (a few hundred MB at most for
-# the narrow dimension rows used here).
-MAX_BROADCAST_ROWS = 2_000_000
 
-
-_SIZE_CHECKS: dict[tuple[int, int, int], bool] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check counts at most ``max_rows + 1`` rows.  Beyond the bound the
-    plain DataFrame is returned and the planner picks a shuffle join (AQE may
-    still switch to a broadcast at runtime).  The outcome is remembered per
-    session and plan (``semanticHash``), so a dimension that many queries
-    join is counted once; only the join strategy depends on it, never the
-    result.
-    """
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    small = _SIZE_CHECKS.get(key)
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        _SIZE_CHECKS[key] = small
-    return F.broadcast(df) if small else df
-
-
-def integrate_videos(comments: DataFrame, videos: DataFrame, key: str = "videoId",
-                     max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def integrate_videos(comments: DataFrame, videos: DataFrame, key: str = "videoId") -> DataFrame:
     """Comments left-joined with per-video engagement.
 
-    The video table is one row per video; when it is within the bound it is
-    broadcast so the (large, text-carrying) comment side is never shuffled.
-    Unmatched comments keep null engagement (cleaning turns it into 0).
-    A video holding a third of all comments is no problem for the broadcast
-    form; in the shuffle form AQE splits the skewed partition.
+    Unmatched comments keep null engagement (cleaning turns it into 0).  A
+    video holding a third of all comments is no problem in the broadcast form;
+    in the shuffle form AQE splits the skewed partition.
     """
-    return comments.join(bounded_broadcast(videos, max_broadcast_rows), key, "left")
+    return comments.join(videos, key, "left")

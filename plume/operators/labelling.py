@@ -1,10 +1,10 @@
 """Comment enrichment: relevance -> (category, sentiment, brands), gated.
 
-Stage 2 and 3 only run for related rows: the related rows are filtered
-*before* they are scored (a ``when`` would not skip the work reliably), and
-the unrelated rows are added back with the 'skipped' values by a union.
-With the lexicon scorers every stage is a native projection, so the whole
-pipeline is one narrow stage per input partition.
+With the lexicon scorers the gate is a condition on the columns of one
+projection: all stages read the same match array, so the whole pipeline is one
+narrow pass per input partition, and only ids and labels meet the sentiment.
+(Costly scorers are gated by filtering first, see ``ml.gated_ml``.)  Every
+input row gives one output row; blank texts are kept unclassified.
 
 Staging: ``lower(text)`` -> ``matches`` (one regex pass over the text for
 all terms, behind a one-row generator so the optimizer cannot copy it) ->
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CATEGORY_KEYWORDS
 from ..functions.text import is_blank
-from ..functions.labels import (brand_list, first_hit_of, keyword_relevant, label_of,
+from ..functions.labels import (brand_list, keyword_relevant, label_of,
                                 relevance_terms, score_of, score_structs, term_matches,
                                 winner_share_of)
 
@@ -83,10 +83,6 @@ def confidence(df: DataFrame, text: str = "textOriginal") -> DataFrame:
                                      "confidence": winner_share_of(SCORES)}))
 
 
-def first_hit_labels(df: DataFrame, text: str, out: str = "first_hit") -> DataFrame:
-    return _drop_work(with_scores(df, text).withColumn(out, first_hit_of(SCORES)))
-
-
 def gated_pipeline(df: DataFrame, sentiment: DataFrame | None = None,
                    text: str = "textOriginal", key: str = "row_id") -> DataFrame:
     """Relevance first; only related rows get a category and a sentiment.
@@ -94,39 +90,32 @@ def gated_pipeline(df: DataFrame, sentiment: DataFrame | None = None,
     ``sentiment``: optional (key, predicted_sentiment) scorer output, joined
     to the related rows only.  Output: key, is_related, category, sentiment.
     """
-    # blank input is not classified at all (the sandbox's empty-text check)
-    d = with_scores(df.select(key, text).filter(~is_blank(text)), text) \
-        .withColumn("is_related", keyword_relevant(MATCHES))
-    related = d.filter(F.col("is_related"))
-    unrelated = d.filter(~F.col("is_related")).select(key)
-
-    # the category reads the match array the relevance test already built
-    scored = related.select(key, F.lit(True).alias("is_related"), label_of(SCORES).alias("category"))
-    if sentiment is not None:
-        scored = scored.join(sentiment.select(key, F.col("predicted_sentiment").alias("sentiment")), key, "left")
-    else:
-        scored = scored.withColumn("sentiment", F.lit(None).cast("string"))
-    skipped = unrelated.select(key, F.lit(False).alias("is_related"),
-                               F.lit(None).cast("string").alias("category"),
-                               F.lit(None).cast("string").alias("sentiment"))
-    return scored.unionByName(skipped)
+    # blank input is kept but not classified: is_related is null
+    d = with_scores(df.select(key, text), text)
+    related = F.when(~is_blank(text), keyword_relevant(MATCHES))
+    done = d.select(key, related.alias("is_related"), F.when(related, label_of(SCORES)).alias("category"))
+    if sentiment is None:
+        return done.withColumn("sentiment", F.lit(None).cast("string"))
+    # the text is gone before the join
+    known = sentiment.select(key, F.col("predicted_sentiment").alias("sentiment"))
+    return done.join(known, key, "left").withColumn("sentiment", F.when(F.col("is_related"), F.col("sentiment")))
 
 
 def analyze_comments(df: DataFrame, text: str = "textOriginal", key: str = "row_id") -> DataFrame:
-    """End-to-end record per comment: is_related Yes/No, category or 'N/A',
-    brands joined or 'N/A', relevance_score, category_score (null when
-    unrelated).  Lexicon scorers: relevance_score is 1.0 (a rule is certain),
+    """End-to-end record per comment: is_related Yes/No ('N/A' for blank
+    text), category or 'N/A', brands joined or 'N/A', relevance_score (null
+    for blank text), category_score (null when unrelated).  Lexicon scorers: relevance_score is 1.0 (a rule is certain),
     category_score is the winner's share of keyword hits."""
-    d = with_scores(df.select(key, text).filter(~is_blank(text)), text)   # blank input: not classified
-    d = d.withColumn("_rel", keyword_relevant(MATCHES))
+    d = with_scores(df.select(key, text), text)
+    d = d.withColumn("_rel", F.when(~is_blank(text), keyword_relevant(MATCHES)))
     rel = F.col("_rel")
     return d.select(
         key,
         F.col(text).alias("comment"),
-        F.when(rel, F.lit("Yes")).otherwise(F.lit("No")).alias("is_related"),
+        F.when(rel, F.lit("Yes")).when(~rel, F.lit("No")).otherwise(F.lit("N/A")).alias("is_related"),
         F.when(rel, label_of(SCORES)).otherwise(F.lit("N/A")).alias("category"),
         F.when(rel, F.array_join(brand_list(MATCHES), ", ")).otherwise(F.lit("N/A")).alias("brands"),
-        F.lit(1.0).alias("relevance_score"),
+        F.when(rel.isNotNull(), F.lit(1.0)).alias("relevance_score"),
         F.when(rel, winner_share_of(SCORES)).alias("category_score"),
     )
 

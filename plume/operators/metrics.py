@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round9
+from ..session import ensure_checkpoint_dir
+
 
 
 def _div(num, den):
@@ -22,11 +23,6 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return df.agg(round9(F.avg(F.when(F.col(label) == F.col(prediction), F.lit(1.0))
-                               .otherwise(F.lit(0.0)))).alias("accuracy"))
-
-
 def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
                    positive=1) -> DataFrame:
     """accuracy, precision, recall, f1 of the positive class (0 when
@@ -41,17 +37,20 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return m.select(
         "n", "tp", "fp", "fn",
-        round9(_div(F.col("correct"), F.col("n"))).alias("accuracy"),
-        round9(_div(tp, tp + fp)).alias("precision"),
-        round9(_div(tp, tp + fn)).alias("recall"),
-        round9(_div(2 * tp, 2 * tp + fp + fn)).alias("f1"))
+        _div(F.col("correct"), F.col("n")).alias("accuracy"),
+        _div(tp, tp + fp).alias("precision"),
+        _div(tp, tp + fn).alias("recall"),
+        _div(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
 def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(cls, support, predicted, tp, precision, recall, f1) over the union of
     true and predicted classes (a class seen only in predictions has
     support 0)."""
+    # read three times below, a row per pair of classes
     c = confusion(df, label, prediction)
+    ensure_checkpoint_dir(df.sparkSession)
+    c = c.checkpoint(eager=True)
     support = c.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
     predicted = c.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
     tp = c.filter(F.col("label") == F.col("prediction")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
@@ -69,8 +68,8 @@ def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "pre
     pc = per_class(df, label, prediction)
     w = F.col("support").cast("double")
     return pc.agg(
-        round9(F.sum("tp") / F.sum("support")).alias("accuracy"),
-        round9(F.sum(w * F.col("precision")) / F.sum(w)).alias("precision"),
-        round9(F.sum(w * F.col("recall")) / F.sum(w)).alias("recall"),
-        round9(F.sum(w * F.col("f1")) / F.sum(w)).alias("f1"),
+        (F.sum("tp") / F.sum("support")).alias("accuracy"),
+        (F.sum(w * F.col("precision")) / F.sum(w)).alias("precision"),
+        (F.sum(w * F.col("recall")) / F.sum(w)).alias("recall"),
+        (F.sum(w * F.col("f1")) / F.sum(w)).alias("f1"),
         F.sum("support").alias("n"))

@@ -10,13 +10,12 @@ queries; seeds are fixed.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import fixtures as FX
@@ -25,7 +24,9 @@ from . import training as T
 
 NUM_FEATURES = 4096
 MAX_ITER = 20
-REG_GRID = [0.0, 0.01, 0.1]
+REG_GRID = [0.01, 0.1, 0.5]
+#: Seed of the validation part inside the training rows.
+VALIDATION_SEED = 7
 
 
 def text_pipeline(reg: float = 0.0, num_features: int = NUM_FEATURES) -> Pipeline:
@@ -66,12 +67,32 @@ def category_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.stratified_split(enc, "label")
 
 
-def _fit_and_predict(data: DataFrame, reg: float = 0.0) -> DataFrame:
-    data = data.persist()
-    train = data.filter(F.col("split") == "train")
-    test = data.filter(F.col("split") == "test")
-    model = text_pipeline(reg).fit(_prepare(train))
-    return predictions(model, test)
+def fit_best(train: DataFrame) -> tuple[PipelineModel, list[tuple[float, float]]]:
+    """The text pipeline with the best of the candidate regularisations, and
+    (reg_param, f1) of each.
+
+    The feature stages are fitted once and their output is persisted while the
+    logistic regression is tuned by weighted F1 on an exact validation part of
+    the training rows; the winner is fitted again on all of them."""
+    train = _prepare(T.stratified_split(train.select("row_id", "text", "label"), "label", seed=VALIDATION_SEED))
+    stages = text_pipeline().getStages()
+    features = Pipeline(stages=stages[:-1]).fit(train)
+    ready = features.transform(train).select("features", "label_d", "split").persist()
+    fit_rows, check_rows = ready.filter("split = 'train'"), ready.filter("split = 'test'")
+    judge = MulticlassClassificationEvaluator(labelCol="label_d", metricName="f1")
+    tried = []
+    for reg in REG_GRID:
+        model = stages[-1].copy({stages[-1].regParam: reg}).fit(fit_rows)
+        tried.append((reg, float(judge.evaluate(model.transform(check_rows)))))
+    best = max(tried, key=lambda r: (r[1], r[0]))[0]
+    final = stages[-1].copy({stages[-1].regParam: best}).fit(ready)
+    ready.unpersist()
+    return PipelineModel(stages=[*features.stages, final]), tried
+
+
+def _fit_and_predict(data: DataFrame) -> DataFrame:
+    model, _ = fit_best(data.filter(F.col("split") == "train"))
+    return predictions(model, data.filter(F.col("split") == "test"))
 
 
 def train_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,34 +108,25 @@ def evaluate_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.weighted_metrics(train_category(spark, sf_dir))
 
 
+def evaluate_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary metrics of the relevance model on the held-out split."""
+    return M.binary_metrics(train_relevance(spark, sf_dir))
+
+
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pick regParam by weighted F1 on a validation split of the training
-    rows (the 'load best model at end by f1' rule).  The feature stages
-    (tokenizer, TF, IDF) are fitted once and their output persisted; only
-    the logistic regression is tuned, the candidates in parallel."""
+    """The candidates with their validation F1 and the one that the other
+    queries use (the 'load best model at end by f1' rule)."""
     data = category_data(spark, sf_dir)
-    train = _prepare(data.filter(F.col("split") == "train"))
-    stages = text_pipeline().getStages()
-    features = Pipeline(stages=stages[:-1]).fit(train)
-    featurized = features.transform(train).select("features", "label_d").persist()
-    lr = stages[-1]
-    grid = ParamGridBuilder().addGrid(lr.regParam, REG_GRID).build()
-    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid,
-                               evaluator=MulticlassClassificationEvaluator(labelCol="label_d", metricName="f1"),
-                               trainRatio=0.8, seed=42, parallelism=len(REG_GRID))
-    fitted = tvs.fit(featurized)
-    rows = [(float(pm[lr.regParam]), float(m)) for pm, m in zip(grid, fitted.validationMetrics)]
-    featurized.unpersist()
-    cand = spark.createDataFrame(rows, "reg_param double, f1 double")
-    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
-    return cand.withColumn("is_best", F.col("reg_param") == F.lit(best))
-
-
-def score(model, df: DataFrame, prefix: str) -> DataFrame:
-    """Apply a fitted text pipeline: key + ``<prefix>_id`` (class index) and
-    ``<prefix>_score`` (probability of that class, the stage's confidence)."""
+    _, tried = fit_best(data.filter(F.col("split") == "train"))
+    best = max(tried, key=lambda r: (r[1], r[0]))[0]
+    return spark.createDataFrame(tried, "reg_param double, f1 double").withColumn("is_best", F.col("reg_param") == F.lit(best))
+
+
+def score(model: PipelineModel, df: DataFrame, prefix: str) -> DataFrame:
+    """Adds ``<prefix>_id`` (class index) and ``<prefix>_score`` (probability
+    of that class, the stage's confidence); all other columns stay."""
     p = model.transform(df)
-    return p.select("row_id", F.col("prediction").cast("int").alias(f"{prefix}_id"),
+    return p.select(*df.columns, F.col("prediction").cast("int").alias(f"{prefix}_id"),
                     F.array_max(vector_to_array("probability")).alias(f"{prefix}_score"))
 
 
@@ -142,27 +154,26 @@ def gated_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.fixed_values import SENTIMENTS
     from ..functions.text import normalize_text
 
-    def fit(data: DataFrame):
-        return text_pipeline().fit(_prepare(data.filter(F.col("split") == "train")))
+    def fit(data: DataFrame) -> PipelineModel:
+        return fit_best(data.filter(F.col("split") == "train"))[0]
 
     rel_model = fit(relevance_data(spark, sf_dir))
     cat_data = category_data(spark, sf_dir)
     cat_model = fit(cat_data)
     sent_model = fit(sentiment_data(spark, sf_dir))
-
-    comments = FX.enriched(spark, sf_dir).select(
-        "row_id", normalize_text("textOriginal").alias("text")).checkpoint(eager=True)
-    s1 = score(rel_model, comments, "relevance")
-    related = comments.join(s1.filter(F.col("relevance_id") == 1), "row_id")
-    names = cat_data.select(F.col("label").alias("category_id"), "category").distinct()
-    s2 = score(cat_model, related, "category").join(F.broadcast(names), "category_id", "left")
-    sent_names = F.array(*[F.lit(s) for s in SENTIMENTS])
-    s3 = score(sent_model, related, "sentiment").select(
-        "row_id", F.element_at(sent_names, F.col("sentiment_id") + 1).alias("sentiment"), "sentiment_score")
-    gated = (s2.join(s3, "row_id").join(s1.select("row_id", "relevance_score"), "row_id")
-             .select("row_id", F.lit("Yes").alias("is_related"), "category", "sentiment",
-                     "relevance_score", "category_score", "sentiment_score"))
-    skipped = s1.filter(F.col("relevance_id") != 1).select(
+    # label names in order of their ids: a row per category
+    names = [r.category for r in cat_data.select("label", "category").distinct().orderBy("label").collect()]
+
+    def named(labels: list[str], column: str) -> Column:
+        return F.element_at(F.array(*map(F.lit, labels)), F.col(column) + 1)
+
+    texts = FX.enriched_base(spark, sf_dir).select("row_id", normalize_text("textOriginal").alias("text"))
+    first = score(rel_model, texts, "relevance").checkpoint(eager=True)
+    related = score(sent_model, score(cat_model, first.filter("relevance_id = 1"), "category"), "sentiment")
+    gated = related.select("row_id", F.lit("Yes").alias("is_related"), named(names, "category_id").alias("category"),
+                           named(SENTIMENTS, "sentiment_id").alias("sentiment"),
+                           "relevance_score", "category_score", "sentiment_score")
+    skipped = first.filter("relevance_id <> 1").select(
         "row_id", F.lit("No").alias("is_related"), F.lit(None).cast("string").alias("category"),
         F.lit(None).cast("string").alias("sentiment"), "relevance_score",
         F.lit(None).cast("double").alias("category_score"), F.lit(None).cast("double").alias("sentiment_score"))

@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import MAX_BROADCAST_ROWS
 
+# Groups up to which the per-group tables (a row each) are broadcast; counted
+# for every call.
+MAX_GROUPS = 100_000
 _PREFIX = 4  # hex digits per histogram level (65,536 buckets)
 _TOP = "g" * 32  # sorts after any lowercase hex digest
 
@@ -63,13 +65,17 @@ def select_first_n(df: DataFrame, group: str, hash_col: str, tie: str,
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    # null is a group like any other: joins go by a name that is never null
+    given, group = group, "_group"
+    df = df.withColumn(group, F.when(F.col(given).isNull(), F.lit("null")).otherwise(
+        F.concat(F.lit("="), F.col(given).cast("string"))))
     keys = df.select(group, hash_col, tie).checkpoint(eager=True)
 
     sizes = keys.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
     n_groups = sizes.count()  # one row per group, read from the checkpointed keys
     need = (need_from_sizes(sizes).select(group, F.col("need").cast("long").alias("need"))
             .join(sizes, group))
-    per_group = F.broadcast if n_groups <= MAX_BROADCAST_ROWS else (lambda d: d)
+    per_group = F.broadcast if n_groups <= MAX_GROUPS else (lambda d: d)
     active = need.filter(F.col("need") > 0)
 
     b1 = F.substring(hash_col, 1, _PREFIX)
@@ -99,5 +105,5 @@ def select_first_n(df: DataFrame, group: str, hash_col: str, tie: str,
            & (F.col("_t_tie").isNull() | (F.col(tie) <= F.col("_t_tie")))),
         F.lit(False))
     if flag:
-        return j.withColumn(flag, inside).drop("_t_hash", "_t_tie")
-    return j.filter(inside).drop("_t_hash", "_t_tie")
+        return j.withColumn(flag, inside).drop("_t_hash", "_t_tie", group)
+    return j.filter(inside).drop("_t_hash", "_t_tie", group)

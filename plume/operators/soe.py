@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import percent, ratio_positive, round9, thousands
+from ..functions.numeric import percent, ratio_positive, thousands
 from .aggregates import category_totals
 
 CURRENT = ["current_comment_likes", "current_video_likes", "current_video_favs", "current_video_comments"]
@@ -24,8 +24,8 @@ def category_soe(df: DataFrame) -> DataFrame:
     den = F.col("current_video_likes") + F.col("current_video_favs") + F.col("current_video_comments")
     return t.select("Predicted_Category", *CURRENT,
                     den.alias("current_engagement"),
-                    round9(ratio_positive(F.col("current_comment_likes").cast("double"),
-                                          den.cast("double"))).alias("current_soe"))
+                    ratio_positive(F.col("current_comment_likes").cast("double"),
+                                   den.cast("double")).alias("current_soe"))
 
 
 def soe_scenarios(df: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def soe_scenarios(df: DataFrame, scenarios: DataFrame) -> DataFrame:
     return s.select(
         "scenario_id", "category", *CURRENT, *PROJECTED, "valid",
         "current_engagement", "projected_engagement",
-        *[round9(F.col(c)).alias(c) for c in ("current_soe", "projected_soe", "delta_soe", "relative_delta")])
+        "current_soe", "projected_soe", "delta_soe", "relative_delta")
 
 
 def soe_display(scored: DataFrame) -> DataFrame:
@@ -77,6 +77,14 @@ def soe_display(scored: DataFrame) -> DataFrame:
         thousands(F.col("current_engagement")).alias("current_engagement_text"))
 
 
+def baseline_display(totals: DataFrame) -> DataFrame:
+    """Presentation strings of the current values per category."""
+    return totals.select("Predicted_Category",
+                         percent(F.col("current_soe"), 4).alias("current_soe_text"),
+                         thousands(F.col("current_comment_likes")).alias("current_likes_text"),
+                         thousands(F.col("current_engagement")).alias("current_engagement_text"))
+
+
 def derived_scenarios(df: DataFrame) -> DataFrame:
     """A scenario table derived from the data: for every category present
     among product-related rows, a set of planned changes (generated per row

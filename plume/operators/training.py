@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import MAX_TOKENS, PRODUCT_RELATED, NOT_PRODUCT_RELATED, UNLABELED
 from ..functions.text import normalize_text, tokens
-from .joins import bounded_broadcast
 from .labelling import weak_labels
 from .sampling import seeded_hash, select_first_n
 
@@ -54,15 +53,15 @@ def spam_flags(df: DataFrame, text: str = "textOriginal", key: str = "row_id",
 
     Duplicates: count per text digest with a partial aggregate (a text
     repeated a third of all rows is reduced inside each task), keep only
-    digests seen more than once, and join that table back (broadcast when
-    its size is within the bound, else a shuffle join that AQE splits).
+    digests seen more than once, and join that table back (AQE broadcasts it
+    if it is small and splits skewed partitions if not).
     """
     norm = normalize_text(F.col(text))
     d = df.select(key, text, norm.alias("cleaned_text"),
                   F.sha2(norm, 256).alias("_digest"))
     dups = (d.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
             .filter(F.col("_n") > 1).select("_digest", "_first"))
-    d = d.join(bounded_broadcast(dups), "_digest", "left")
+    d = d.join(dups, "_digest", "left")
     low = F.lower(F.col(text))
     return d.select(
         key, "cleaned_text",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import NOT_APPLICABLE, PRODUCT_RELATED
+from ..functions.numeric import round9
 from ..functions.text import normalize_text, title_case
 from ..operators import aggregates as A
 from ..operators import cleaning as C
@@ -73,6 +74,11 @@ def _explorer_mask():
     return X.explorer_mask(O.EXPLORER_RELEVANCE, O.EXPLORER_CATEGORIES, O.EXPLORER_SENTIMENTS)
 
 
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles to 9 decimals, for the comparison with the oracle only."""
+    return df.withColumns({c: round9(F.col(c)) for c in columns})
+
+
 # --- sources / joins ---------------------------------------------------------
 
 def q_integrate_videos(spark, sf):
@@ -97,6 +103,16 @@ def q_parquet_chunks(spark, sf):
         "row_id", "isProductRelated", "Predicted_Category", "predicted_sentiment", "comment_share_of_engagement")
 
 
+def q_parquet_file_bound(spark, sf):
+    """Files of at most 100 rows: whether all keep the bound, rows in all."""
+    from ..session import scratch_path
+    from ..sources.sinks import file_row_counts, write_parquet_chunks
+    out = scratch_path(spark, "bounded")
+    write_parquet_chunks(_e(spark, sf).select("row_id", "Predicted_Category"), out, rows_per_file=100)
+    files = file_row_counts(spark, out)
+    return files.agg((F.max("rows") <= 100).alias("within_bound"), F.sum("rows").alias("rows"))
+
+
 def q_union_by_name(spark, sf):
     e = _e(spark, sf)
     prod = e.filter(F.col("isProductRelated") == PRODUCT_RELATED)
@@ -109,7 +125,7 @@ def q_union_by_name(spark, sf):
 # --- cleaning ----------------------------------------------------------------
 
 def q_drop_missing_text(spark, sf):
-    return C.drop_missing_text(FX.comments(spark, sf)).select("row_id", "textOriginal")
+    return C.drop_missing_text(FX.comments_with_gaps(spark, sf)).select("row_id", "textOriginal")
 
 
 def q_fill_labels(spark, sf):
@@ -152,12 +168,12 @@ def q_display_labels(spark, sf):
 
 
 def q_soe_display(spark, sf):
-    from ..functions.numeric import percent, thousands
-    t = S.category_soe(_e(spark, sf))
-    return t.select("Predicted_Category",
-                    percent(F.col("current_soe"), 4).alias("current_soe_text"),
-                    thousands(F.col("current_comment_likes")).alias("current_likes_text"),
-                    thousands(F.col("current_engagement")).alias("current_engagement_text"))
+    return S.baseline_display(S.category_soe(_e(spark, sf)))
+
+
+def q_scenario_display(spark, sf):
+    e = _e(spark, sf)
+    return S.soe_display(S.soe_scenarios(e, S.derived_scenarios(e)).filter("valid"))
 
 
 def q_label_ids(spark, sf):
@@ -200,6 +216,10 @@ def q_spam_filter(spark, sf):
     return T.spam_flags(_texts(spark, sf))
 
 
+def q_spam_removed(spark, sf):
+    return T.remove_spam(_texts(spark, sf))
+
+
 # --- aggregates --------------------------------------------------------------
 
 def q_sentiment_overview(spark, sf):
@@ -219,7 +239,7 @@ def q_sentiment_by_category(spark, sf):
 
 
 def q_mean_soe_by_category(spark, sf):
-    return A.mean_soe_by_category(_e(spark, sf))
+    return _rounded(A.mean_soe_by_category(_e(spark, sf)), "mean_soe")
 
 
 def q_category_totals(spark, sf):
@@ -338,25 +358,26 @@ def q_metrics_binary(spark, sf):
     lab = read_table(spark, sf, "labels", ["doc_id", "quality"])
     y = lab.join(e.select("row_id", "is_related"), lab.doc_id == e.row_id).select(
         F.col("quality").alias("label"), F.col("is_related").cast("int").alias("prediction"))
-    return M.binary_metrics(y)
+    return _rounded(M.binary_metrics(y), "accuracy", "precision", "recall", "f1")
 
 
 def q_metrics_weighted(spark, sf):
     d = L.with_scores(_texts(spark, sf), "textOriginal")
     from ..functions.labels import first_hit_of, label_of
     y = d.select(label_of(L.SCORES).alias("label"), first_hit_of(L.SCORES).alias("prediction"))
-    return M.weighted_metrics(y)
+    return _rounded(M.weighted_metrics(y), "accuracy", "precision", "recall", "f1")
 
 
 # --- SOE ---------------------------------------------------------------------
 
 def q_category_soe(spark, sf):
-    return S.category_soe(_e(spark, sf))
+    return _rounded(S.category_soe(_e(spark, sf)), "current_soe")
 
 
 def q_soe_scenarios(spark, sf):
     e = _e(spark, sf)
-    return S.soe_scenarios(e, S.derived_scenarios(e))
+    return _rounded(S.soe_scenarios(e, S.derived_scenarios(e)),
+                    "current_soe", "projected_soe", "delta_soe", "relative_delta")
 
 
 # --- streaming ---------------------------------------------------------------
@@ -388,6 +409,11 @@ def q_evaluate_holdout(spark, sf):
     return evaluate_holdout(spark, sf)
 
 
+def q_evaluate_relevance(spark, sf):
+    from ..operators.ml import evaluate_relevance
+    return evaluate_relevance(spark, sf)
+
+
 def q_gated_ml(spark, sf):
     from ..operators.ml import gated_ml
     return gated_ml(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio_positive, round9
+from ..functions.numeric import ratio_positive
 from ..operators import aggregates as A
 from ..operators.cleaning import SOE_COLUMN
 from ..sources import fixtures as FX
@@ -20,7 +20,7 @@ def category_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     e = FX.enriched(spark, sf_dir)
     agg = (A.product_comments(e).groupBy("Predicted_Category").agg(
-        round9(F.avg(SOE_COLUMN)).alias("mean_soe"),
+        F.avg(SOE_COLUMN).alias("mean_soe"),
         F.sum("likeCount_comment").cast("long").alias("current_comment_likes"),
         F.sum("likeCount_video").cast("long").alias("current_video_likes"),
         F.sum("favouriteCount").cast("long").alias("current_video_favs"),
@@ -28,15 +28,16 @@ def category_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     den = F.col("current_video_likes") + F.col("current_video_favs") + F.col("current_video_comments")
     return (agg.filter(F.col("mean_soe").isNotNull())
             .withColumn("current_engagement", den)
-            .withColumn("current_soe", round9(ratio_positive(F.col("current_comment_likes").cast("double"),
-                                                             den.cast("double"))))
+            .withColumn("current_soe", ratio_positive(F.col("current_comment_likes").cast("double"),
+                                                      den.cast("double")))
             .orderBy("Predicted_Category"))
 
 
 def materialize_enriched(spark: SparkSession, sf_dir: str, path: str | None = None,
-                         rows_per_file: int = 10_000) -> str:
+                         rows_per_file: int = 0) -> str:
     """Run the enrichment once and write the enriched table as Parquet in the
-    shared folder (or ``path``), in files of at most ``rows_per_file`` rows.
+    shared folder (or ``path``); ``rows_per_file`` bounds the rows of a file
+    (0: one file per task).
 
     This is the production shape of the dashboard: labelling reads every
     text once, and each tile afterwards reads only its own columns from

@@ -9,7 +9,6 @@ histogram sampler.  Equal results from both are the correctness check.
 from __future__ import annotations
 
 from ..functions.fixed_values import (BRANDS, CATEGORY_KEYWORDS, NO_BRAND, lexicon_rows)
-from ..functions.labels import relevance_terms
 
 
 def _q(s: str) -> str:
@@ -25,7 +24,7 @@ def _values(rows) -> str:
 
 LEXICON_SQL = f"lexicon(kw_id, cat_rank, category, keyword) AS (VALUES\n    {_values(lexicon_rows())})"
 BRANDS_SQL = f"brands(brand_id, brand) AS (VALUES\n    {_values(list(enumerate(BRANDS)))})"
-TERMS_SQL = f"terms(term) AS (VALUES\n    {_values([(t,) for t in relevance_terms()])})"
+TERMS_SQL = "terms(term) AS (SELECT keyword FROM lexicon UNION SELECT brand FROM brands)"
 N_KW = len(lexicon_rows())
 N_BRANDS = len(BRANDS)
 CATS = list(CATEGORY_KEYWORDS)
@@ -43,10 +42,8 @@ WITH {LEXICON_SQL},
 {TERMS_SQL},
 comments AS (
   SELECT d.doc_id AS row_id, d.source AS videoId,
-    CASE WHEN d.doc_id % 40 = 7 THEN NULL ELSE
-      concat(d.text,
-        CASE WHEN d.doc_id % 5 <> 0 THEN concat(' ', l.keyword) ELSE '' END,
-        CASE WHEN d.doc_id % 7 = 0 THEN concat(' ', upper(b.brand)) ELSE '' END) END AS textOriginal,
+    d.text || CASE WHEN d.doc_id % 5 <> 0 THEN concat(' ', l.keyword) ELSE '' END
+      || CASE WHEN d.doc_id % 7 = 0 THEN concat(' ', upper(b.brand)) ELSE '' END AS textOriginal,
     CASE WHEN d.doc_id % 17 = 0 THEN 'bad' ELSE CAST(d.n_chars % 50 AS VARCHAR) END AS likeCount_comment
   FROM documents d
   JOIN lexicon l ON l.kw_id = d.doc_id % {N_KW}
@@ -154,6 +151,10 @@ def r9(x: str) -> str:
     return ROUND.format(x=x)
 
 
+#: Relevance of texts that are not blank; null otherwise.
+RELATED2 = r"""related2 AS (SELECT c.row_id, CASE WHEN regexp_matches(c.textOriginal, '\S') THEN x.rel END AS rel
+  FROM comments c JOIN related x ON c.row_id = x.row_id)"""
+
 SCENARIO_SQL = """
 totals AS (
   SELECT Predicted_Category AS category,
@@ -226,7 +227,7 @@ UNION ALL BY NAME
 SELECT row_id, predicted_sentiment, likeCount_comment, isProductRelated FROM e
 WHERE isProductRelated IS DISTINCT FROM 'Product Related'"""),
         # --- cleaning ----------------------------------------------------------
-        "drop_missing_text": q("SELECT row_id, textOriginal FROM comments WHERE textOriginal IS NOT NULL"),
+        "drop_missing_text": q("SELECT row_id, textOriginal FROM comments WHERE textOriginal IS NOT NULL AND row_id % 40 <> 7"),
         "fill_labels": q("SELECT row_id, Predicted_Category, predicted_sentiment FROM e"),
         "coerce_counts": q("SELECT row_id, likeCount_comment, likeCount_video, favouriteCount, commentCount FROM e"),
         "require_columns": q("""
@@ -254,7 +255,7 @@ FROM p WHERE Predicted_Category <> '[Not Applicable]'"""),
       + CAST(trunc(sum(commentCount)) AS BIGINT) AS d
   FROM p GROUP BY Predicted_Category)
 SELECT Predicted_Category,
-  printf('%.4f%%', {r9("CASE WHEN d > 0 THEN CAST(l AS DOUBLE) / d ELSE 0.0 END")} * 100) AS current_soe_text,
+  printf('%.4f%%', CASE WHEN d > 0 THEN CAST(l AS DOUBLE) / d ELSE 0.0 END * 100) AS current_soe_text,
   format('{{:,}}', l) AS current_likes_text,
   format('{{:,}}', d) AS current_engagement_text
 FROM t"""),
@@ -285,6 +286,13 @@ SELECT row_id, cleaned_text,
            OR regexp_matches(lower(textOriginal), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}'), FALSE)
    OR length(cleaned_text) < 20 OR (cnt > 1 AND row_id <> first_id)) AS is_spam
 FROM d"""),
+        "spam_removed": q(f"""
+, n AS (SELECT row_id, lower(textOriginal) AS low, {norm('textOriginal')} AS cleaned_text FROM e),
+d AS (SELECT *, row_number() OVER (PARTITION BY cleaned_text ORDER BY row_id) AS copy FROM n)
+SELECT row_id, cleaned_text FROM d
+WHERE copy = 1 AND length(cleaned_text) >= 20 AND NOT regexp_matches(low, '(https?://|www\\.)')
+  AND NOT regexp_matches(low, '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}')"""),
+        "parquet_file_bound": q("SELECT TRUE AS within_bound, CAST(count(*) AS BIGINT) AS rows FROM e"),
         # --- aggregates --------------------------------------------------------
         "sentiment_overview": q("SELECT predicted_sentiment, count(*) AS count FROM e GROUP BY 1"),
         "relevance_ratio": q("SELECT isProductRelated, count(*) AS count FROM e WHERE isProductRelated IS NOT NULL GROUP BY 1"),
@@ -346,23 +354,23 @@ WHERE rank <= 5"""),
 SELECT e.row_id, r.rel AS is_related,
   CASE WHEN r.rel THEN coalesce(b.category, 'unlabeled') END AS category,
   CASE WHEN r.rel THEN s.predicted_sentiment END AS sentiment
-FROM e JOIN related r ON e.row_id = r.row_id
-LEFT JOIN best b ON e.row_id = b.row_id LEFT JOIN sentiment s ON e.row_id = s.row_id
-WHERE trim(e.textOriginal) <> ''"""),
+FROM e JOIN (SELECT c.row_id, CASE WHEN regexp_matches(c.textOriginal, '\\S') THEN x.rel END AS rel
+             FROM comments c JOIN related x ON c.row_id = x.row_id) r ON e.row_id = r.row_id
+LEFT JOIN best b ON e.row_id = b.row_id LEFT JOIN sentiment s ON e.row_id = s.row_id"""),
         "analyze_comments": q(f"""
 , tot AS (SELECT row_id, sum(score) AS total, max(score) AS top FROM scored GROUP BY row_id),
 bt AS (SELECT e.row_id, string_agg(b.brand, ', ' ORDER BY b.brand_id) AS brands
-       FROM e LEFT JOIN brands b ON contains(lower(e.textOriginal), b.brand) GROUP BY e.row_id)
+       FROM e LEFT JOIN brands b ON contains(lower(e.textOriginal), b.brand) GROUP BY e.row_id),
+{RELATED2}
 SELECT e.row_id, e.textOriginal AS comment,
-  CASE WHEN r.rel THEN 'Yes' ELSE 'No' END AS is_related,
+  CASE WHEN r.rel THEN 'Yes' WHEN NOT r.rel THEN 'No' ELSE 'N/A' END AS is_related,
   CASE WHEN r.rel THEN coalesce(b.category, 'unlabeled') ELSE 'N/A' END AS category,
   CASE WHEN r.rel THEN coalesce(bt.brands, {_q(NO_BRAND)}) ELSE 'N/A' END AS brands,
-  CAST(1.0 AS DOUBLE) AS relevance_score,
+  CASE WHEN r.rel IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS relevance_score,
   CASE WHEN r.rel AND tot.total > 0 THEN CAST(tot.top AS DOUBLE) / tot.total END AS category_score
-FROM e JOIN related r ON e.row_id = r.row_id
+FROM e JOIN related2 r ON e.row_id = r.row_id
 LEFT JOIN best b ON e.row_id = b.row_id LEFT JOIN tot ON e.row_id = tot.row_id
-LEFT JOIN bt ON e.row_id = bt.row_id
-WHERE trim(e.textOriginal) <> ''"""),
+LEFT JOIN bt ON e.row_id = bt.row_id"""),
         "confidence": q("""
 , tot AS (SELECT row_id, sum(score) AS total, max(score) AS top FROM scored GROUP BY row_id)
 SELECT e.row_id, coalesce(b.category, 'unlabeled') AS category,
@@ -448,22 +456,29 @@ SELECT scenario_id, category, current_comment_likes, current_video_likes, curren
   {r9("proj_soe - cur_soe")} AS delta_soe,
   {r9("CASE WHEN cur_soe > 0 THEN (proj_soe - cur_soe) / cur_soe END")} AS relative_delta
 FROM sc3"""),
+        "scenario_display": q(", " + SCENARIO_SQL.strip() + """
+SELECT scenario_id, category,
+  printf('%.4f%%', cur_soe * 100) AS current_soe_text, printf('%.4f%%', proj_soe * 100) AS projected_soe_text,
+  CASE WHEN cur_soe > 0 THEN printf('%.4f%%', (proj_soe - cur_soe) * 100) || ' (' ||
+       printf('%.2f%%', (proj_soe - cur_soe) / cur_soe * 100) || ')' ELSE 'N/A' END AS delta_text,
+  format('{:,}', current_comment_likes) AS current_likes_text,
+  format('{:,}', current_engagement) AS current_engagement_text
+FROM sc3 WHERE valid"""),
         # --- streaming -----------------------------------------------------------
         "stream_enrich": q(f"""
 , tot AS (SELECT row_id, sum(score) AS total, max(score) AS top FROM scored GROUP BY row_id),
 bt AS (SELECT c.row_id, string_agg(b.brand, ', ' ORDER BY b.brand_id) AS brands
-       FROM comments c LEFT JOIN brands b ON contains(lower(c.textOriginal), b.brand)
-       WHERE c.textOriginal IS NOT NULL GROUP BY c.row_id)
+       FROM comments c LEFT JOIN brands b ON contains(lower(c.textOriginal), b.brand) GROUP BY c.row_id),
+{RELATED2}
 SELECT c.row_id, c.textOriginal AS comment,
-  CASE WHEN r.rel THEN 'Yes' ELSE 'No' END AS is_related,
+  CASE WHEN r.rel THEN 'Yes' WHEN NOT r.rel THEN 'No' ELSE 'N/A' END AS is_related,
   CASE WHEN r.rel THEN coalesce(b.category, 'unlabeled') ELSE 'N/A' END AS category,
   CASE WHEN r.rel THEN coalesce(bt.brands, {_q(NO_BRAND)}) ELSE 'N/A' END AS brands,
-  CAST(1.0 AS DOUBLE) AS relevance_score,
+  CASE WHEN r.rel IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS relevance_score,
   CASE WHEN r.rel AND tot.total > 0 THEN CAST(tot.top AS DOUBLE) / tot.total END AS category_score
-FROM comments c JOIN related r ON c.row_id = r.row_id
+FROM comments c JOIN related2 r ON c.row_id = r.row_id
 LEFT JOIN best b ON c.row_id = b.row_id LEFT JOIN tot ON c.row_id = tot.row_id
-LEFT JOIN bt ON c.row_id = bt.row_id
-WHERE c.textOriginal IS NOT NULL AND trim(c.textOriginal) <> ''"""),
+LEFT JOIN bt ON c.row_id = bt.row_id"""),
         "stream_trend": """
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
        time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,

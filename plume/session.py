@@ -78,7 +78,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme so Python can open a local path."""
     return path[len("file:"):] if path.startswith("file:") else path
-
-
-def sf_dir_default() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

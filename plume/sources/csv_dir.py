@@ -5,88 +5,98 @@ position, so files with another column order would land values in the wrong
 columns.  Here:
 
 1. the file list comes from Spark's own file index (``binaryFile`` source,
-   ``path`` column only, so file contents are not read);
-2. each file's header line is read by a small ``mapInPandas`` task (one
-   line per file, in parallel on the executors);
+   ``path`` column only, so file contents are not read); a folder that is
+   missing or holds no such file gives an empty table, any later failure is
+   raised;
+2. each file's first line comes from Spark's text source (any file system);
 3. files are grouped by header; each group is read with an all-string
    schema in its header order, then the groups are stacked with
    ``unionByName(allowMissingColumns=True)``;
-4. pandas' missing-value tokens become null.
+4. a cell beyond the header's columns raises, shorter records are filled with
+   nulls, and pandas' missing-value tokens become null.
 
 Quoted cells may hold newlines, so files are read with ``multiLine`` (one
-task per file); land them to Parquet once and query that.
+task per file); pass ``multi_line=False`` for large files without such cells,
+which are then split.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cleaning import na_tokens_to_null
 
-READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
-                "mode": "PERMISSIVE"}
+READ_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
 WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: Tie-break of rows in reading order, if asked for.
+POSITION = ["file_name", "file_offset", "file_row"]
 
 
-def list_csv_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
-    """Files directly inside ``directory`` matching ``pattern`` (not recursive)."""
-    return (spark.read.format("binaryFile")
-            .option("pathGlobFilter", pattern)
-            .option("recursiveFileLookup", "false")
-            .load(directory)
-            .select("path"))
-
-
-def scan_csv_dir(spark: SparkSession, directory: str, schema: T.StructType | None = None,
-                 pattern: str = "*.csv") -> DataFrame:
-    """All CSVs of ``directory`` stacked by column name (strings; missing
-    columns null).  An empty directory gives an empty table of ``schema``."""
-    def read_headers(batches):
-        """mapInPandas body: path -> first CSV record of the file.  Defined
-        here so it is shipped by value: executors need not import plume."""
-        import csv as _csv
-        import io as _io
-
-        import pandas as _pd
-        import pyarrow.fs as pafs
-
-        for pdf in batches:
-            out = []
-            for path in pdf["path"]:
-                fs, p = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(p) as stream:
-                    chunk = b""
-                    while b"\n" not in chunk:
-                        block = stream.read(1 << 16)
-                        if not block:
-                            break
-                        chunk += block
-                line = chunk.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-                out.append("\x1f".join(next(_csv.reader(_io.StringIO(line)), [])))
-            yield _pd.DataFrame({"path": pdf["path"], "header": out})
-
+def list_csv_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame | None:
+    """Files directly inside ``directory`` matching ``pattern`` (not
+    recursive); None if there is no such folder."""
     try:
-        files = list_csv_files(spark, directory, pattern)
-        headers = files.mapInPandas(read_headers, "path string, header string")
-        # One row per distinct header with its files: metadata only.
-        groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
-    except Exception as exc:  # no such directory / no matching file
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            groups = []
-        else:
-            raise
+        return (spark.read.format("binaryFile")
+                .option("pathGlobFilter", pattern)
+                .option("recursiveFileLookup", "false")
+                .load(directory)
+                .select("path"))
+    except AnalysisException as exc:  # before any job
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _first_lines(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
+    """(path, line): the first line of every file."""
+    lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").text(directory)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+             .filter("at = 0"))
+    return (lines.withColumn("n", F.monotonically_increasing_id()).groupBy("path")
+            .agg(F.min_by("value", "n").alias("line")))
+
+
+def _columns(line: str) -> list[str]:
+    """Column names of a header line."""
+    line = line.lstrip("\ufeff").rstrip("\r")
+    if line.count('"') % 2:
+        raise ValueError(f"a header cell holds a line break: {line!r}")
+    return next(csv.reader(io.StringIO(line)), [])
+
+
+def scan_csv_dir(spark: SparkSession, directory: str, schema: T.StructType | str | None = None,
+                 pattern: str = "*.csv", multi_line: bool = True, position: bool = False) -> DataFrame:
+    """All CSVs of ``directory`` stacked by column name (strings; missing
+    columns null).  An empty directory gives an empty table of ``schema``.
+    ``position`` adds the columns ``POSITION``, which order rows as they
+    stand in the files (file by file), for ties."""
+    files = list_csv_files(spark, directory, pattern)
+    # a row per distinct header with its files: metadata only
+    groups = [] if files is None else (
+        _first_lines(spark, directory, pattern).groupBy("line")
+        .agg(F.sort_array(F.collect_list("path")).alias("paths")).collect())
     if not groups:
-        if schema is None:
-            schema = T.StructType([])
-        return spark.createDataFrame([], schema)
+        if files is not None and not files.isEmpty() and schema is None:
+            raise ValueError(f"the CSV files in {directory} have no header")
+        return spark.createDataFrame([], schema if schema is not None else T.StructType([]))
     frames = []
-    for g in sorted(groups, key=lambda r: r["header"]):
-        names = g["header"].split("\x1f")
-        s = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-        frames.append(spark.read.options(**READ_OPTIONS).schema(s).csv(g["paths"]))
+    for g in sorted(groups, key=lambda r: r["line"]):
+        names = _columns(g["line"])
+        extra = "_beyond_header"
+        fields = [T.StructField(n, T.StringType(), True) for n in [*names, extra]]
+        read = spark.read.options(**READ_OPTIONS).option("multiLine", multi_line).schema(T.StructType(fields)).csv(g["paths"])
+        where = [F.col("_metadata.file_name").alias(POSITION[0]), F.col("_metadata.file_block_start").alias(POSITION[1]),
+                 F.monotonically_increasing_id().alias(POSITION[2])]
+        rows = read.select("*", *where) if position else read
+        too_long = F.raise_error(F.concat(F.lit("a record has more cells than its header: "), F.col(extra))).cast("boolean")
+        frames.append(rows.filter(F.when(F.col(extra).isNotNull(), too_long).otherwise(F.lit(True))).drop(extra))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

@@ -5,8 +5,9 @@ given tables (``documents``, ``labels``).
 invented test prose hits few beauty keywords, so (as laid down in
 FIXTURES.md) keyword and brand words are appended to the text by fixed
 arithmetic on ``doc_id``.  That arithmetic only decides *which words are
-appended*; no row is filtered or sampled by it, so the view keeps every
-document and grows with the table.
+appended*; no row is filtered or sampled by it and no text is cut, so the view
+keeps every document and grows with the table.  Only ``comments_with_gaps``,
+the input of the key that drops missing texts, has null texts.
 
 The labels and derived columns are computed with the native expressions of
 ``plume.functions.labels``; the SQL oracle computes the same view with an
@@ -31,14 +32,6 @@ BAD_LIKES_EVERY, NULL_RELEVANCE_MOD, NULL_RELEVANCE_AT = 17, 53, 5
 ZERO_ENGAGEMENT_EVERY = 7
 
 
-def lexicon_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(lexicon_rows(), "kw_id int, cat_rank int, category string, keyword string")
-
-
-def brands_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(BRANDS)), "brand_id int, brand string")
-
-
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, videoId, textOriginal, likeCount_comment (text, like a CSV cell)."""
     def build():
@@ -60,13 +53,18 @@ def comments_from(d: DataFrame) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("row_id"),
         F.col("source").alias("videoId"),
-        F.when(F.col("doc_id") % NULL_TEXT_MOD == NULL_TEXT_AT, F.lit(None).cast("string"))
-        .otherwise(text).alias("textOriginal"),
+        text.alias("textOriginal"),
         F.when(F.col("doc_id") % BAD_LIKES_EVERY == 0, F.lit("bad"))
         .otherwise((F.col("n_chars") % 50).cast("string")).alias("likeCount_comment"),
     )
 
 
+def comments_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments with a missing text in one of ``NULL_TEXT_MOD``."""
+    gap = F.col("row_id") % NULL_TEXT_MOD == NULL_TEXT_AT
+    return comments(spark, sf_dir).withColumn("textOriginal", F.when(~gap, F.col("textOriginal")))
+
+
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per video (source) with its engagement; an aggregate of
     ``documents`` read through the ``source`` column only."""

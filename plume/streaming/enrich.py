@@ -26,8 +26,7 @@ def document_stream(spark: SparkSession, landing_dir: str, max_files: int = 16)
 
 
 def enrich_stream(docs: DataFrame) -> DataFrame:
-    comments = FX.comments_from(docs).na.drop(subset=["textOriginal"])
-    return analyze_comments(comments)
+    return analyze_comments(FX.comments_from(docs))
 
 
 def run_enrich_stream(spark: SparkSession, landing_dir: str, out: str | None = None) -> DataFrame:

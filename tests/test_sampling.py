@@ -38,3 +38,11 @@ def test_need_larger_than_group_takes_all(spark):
     assert out.count() == 3000
     none = select_first_n(df, "label", "_h", "row_id", lambda sizes: sizes.withColumn("need", F.lit(0)))
     assert none.count() == 0
+
+
+def test_null_label_is_a_class_of_its_own(spark):
+    df = spark.range(60).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(1).alias("label"))
+    split = {(r.label, r.split): r["count"] for r in stratified_split(df, "label").groupBy("label", "split").count().collect()}
+    assert split == {(None, "test"): 4, (None, "train"): 16, (1, "test"): 8, (1, "train"): 32}
+    counts = {r.label: r["count"] for r in balance_classes(df, "label").groupBy("label").count().collect()}
+    assert counts == {None: 20, 1: 20}

@@ -2,10 +2,11 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from plume.session import local_fs_path
-from plume.sources.csv_dir import scan_csv_dir
+from plume.sources.csv_dir import POSITION, scan_csv_dir
 from plume.sources.sinks import file_row_counts, write_parquet_chunks
 
 
@@ -36,6 +37,45 @@ def test_scan_empty_dir_gives_empty_table(spark, scratch):
     assert df.isEmpty() and df.columns == ["textOriginal"]
 
 
+def test_missing_dir_gives_empty_table(spark, scratch):
+    assert scan_csv_dir(spark, scratch + "/nowhere", schema="a string").isEmpty()
+
+
+def test_cells_beyond_the_header_raise_and_short_rows_are_filled(spark, scratch):
+    d = local_fs_path(scratch)
+    _write(d, "a.csv", "id,text\n1,x\n2\n")
+    assert {(r.id, r.text) for r in scan_csv_dir(spark, scratch).collect()} == {("1", "x"), ("2", None)}
+    _write(d, "b.csv", "id,text\n3,y,EXTRA\n")
+    with pytest.raises(Exception, match="more cells than its header"):
+        scan_csv_dir(spark, scratch).collect()
+
+
+def test_broken_header_raises(spark, scratch):
+    _write(local_fs_path(scratch), "a.csv", '"two\nlines",b\n1,2\n')
+    with pytest.raises(ValueError, match="line break"):
+        scan_csv_dir(spark, scratch)
+
+
+def test_file_lost_after_listing_raises(spark, scratch):
+    d = local_fs_path(scratch)
+    _write(d, "a.csv", "id\n1\n")
+    _write(d, "b.csv", "id\n2\n")
+    df = scan_csv_dir(spark, scratch)
+    os.remove(os.path.join(d, "b.csv"))
+    with pytest.raises(Exception):
+        df.collect()
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_ties_go_by_file_and_position(spark, scratch, multi_line):
+    d = local_fs_path(scratch)
+    _write(d, "b.csv", "id,likes\nb1,5\nb2,5\n")
+    _write(d, "a.csv", "likes,id\n5,a1\n9,a2\n5,a3\n")
+    df = scan_csv_dir(spark, scratch, multi_line=multi_line, position=True)
+    top = df.orderBy(F.desc(F.col("likes").cast("int")), *POSITION).limit(4)
+    assert [r.id for r in top.collect()] == ["a2", "a1", "a3", "b1"]
+
+
 def test_parquet_chunks_bound_rows_per_file(spark, scratch):
     write_parquet_chunks(spark.range(25000).repartition(1), scratch, rows_per_file=10000)
     sizes = sorted(r.rows for r in file_row_counts(spark, scratch).collect())
