@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.labelling import analyze_comments
 from ..session import scratch_path
 from ..sources import fixtures as FX
-from ..sources.tables import table_path
 
+DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
-def document_stream(spark: SparkSession, landing_dir: str, max_files: int = 16) -> DataFrame:
-    schema = spark.read.parquet(table_path(landing_dir, "documents")).schema
+
+def document_stream(spark: SparkSession, landing_dir: str, max_files: int = 16,
+                    schema: str = DOCUMENT_SCHEMA) -> DataFrame:
+    """Documents as they land; the folder may still be empty."""
     return (spark.readStream.schema(schema)
             .option("pathGlobFilter", "documents*.parquet")
             .option("maxFilesPerTrigger", max_files)

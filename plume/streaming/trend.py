@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.tables import table_path
 
+EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
-def event_stream(spark: SparkSession, landing_dir: str, max_files: int = 16) -> DataFrame:
-    schema = spark.read.parquet(table_path(landing_dir, "events")).schema
+
+def event_stream(spark: SparkSession, landing_dir: str, max_files: int = 16,
+                 schema: str = EVENT_SCHEMA) -> DataFrame:
+    """Events as they land; the folder may still be empty."""
     return (spark.readStream.schema(schema)
             .option("pathGlobFilter", "events*.parquet")
             .option("maxFilesPerTrigger", max_files)

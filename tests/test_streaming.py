@@ -25,7 +25,7 @@ def test_trend_stream_equals_batch(spark):
 
 def test_enrich_stream_equals_batch(spark):
     got = run_enrich_stream(spark, SF0001)
-    ref = analyze_comments(FX.comments(spark, SF0001).na.drop(subset=["textOriginal"]))
+    ref = analyze_comments(FX.comments(spark, SF0001))
     cols = ["row_id", "is_related", "category", "brands"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, ref.select(cols).collect()))
 
@@ -85,3 +85,12 @@ def test_enrich_stream_restart_is_exactly_once(spark):
     first = run_enrich_stream(spark, SF0001, out=out).count()
     again = run_enrich_stream(spark, SF0001, out=out).count()   # same checkpoint: nothing new
     assert first == again == FX.comments(spark, SF0001).na.drop(subset=["textOriginal"]).count()
+
+
+def test_streams_start_on_an_empty_landing_folder(spark):
+    from plume.streaming.enrich import document_stream, enrich_stream
+    from plume.streaming.trend import event_stream
+    land = local_fs_path(scratch_path(spark, "empty-landing"))
+    os.makedirs(land)
+    assert enrich_stream(document_stream(spark, land)).columns[0] == "row_id"
+    assert trend_counts(event_stream(spark, land)).columns == ["window", "event_type", "count"]
