@@ -201,7 +201,8 @@ def candidates(docs: DataFrame, n: int = 35) -> tuple[DataFrame, DataFrame]:
                         .filter(F.size("anchors") > 0))
     rows = rows.select("key", F.explode(F.arrays_zip("anchors", "segments")).alias("a")) \
                .select("key", F.col("a.anchors").alias("anchor"), F.col("a.segments").alias("segment"))
-    repeated = rows.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # written first, so both sides of the join are plain shuffles and a hot anchor's rows can be split
+    repeated = C.checkpoint(rows.groupBy("anchor").count().filter("count > 1").select("anchor"))
     rows = C.checkpoint(rows.join(repeated, "anchor"))
     # segments as a whole; anchors with a segment seen once stay open
     segments = C.checkpoint(rows.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min("key").alias("first")))
