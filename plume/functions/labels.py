@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import BRANDS, CATEGORY_KEYWORDS, NO_BRAND, NOT_APPLICABLE, UNLABELED
+from .fixed_values import BRANDS, CATEGORY_KEYWORDS, NO_BRAND, UNLABELED
 
 
 def sql_string(s: str) -> str:

@@ -8,7 +8,6 @@ bench and the examples.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
