@@ -35,7 +35,7 @@ from plume.llm import common as C
 #: Every so many words a suffix position is kept.
 SAMPLE = 32
 #: Bytes of text per shard; longer documents are indexed in overlapping pieces.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 PIECE_WORDS = 1 << 20
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from plume.llm import common as C
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Hashed features of the scorer.
 WIDTH = 1 << 18
 #: Insults in English.
