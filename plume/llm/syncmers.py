@@ -3,10 +3,10 @@
 A k-mer of code points is a closed syncmer if, of its inner s-mers, one with
 the smallest hash stands at its first or last place.  Whether it is one
 depends on the k-mer alone, so unchanged passages keep their anchors whatever
-happens around them.  A fingerprint keeps the anchors with the smallest hashes
-(at most ``size``), each with its first position, in text order.  The likeness
-of two fingerprints is the share of the smallest hashes of both together that
-stand in both and in the same order.
+happens around them.  A fingerprint keeps all anchors of a text, every
+occurrence with its position.  The n-th occurrence of an anchor in one text is
+matched with its n-th in the other; the likeness of two fingerprints is the
+share of the anchors of both together that stand in both and in the same order.
 
 Scale: the fingerprint of a text needs only the text.  The edited text needs
 the start of the next document by doc_id, which is brought next to it by one
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from plume.llm import common as C
 
-K, S, SIZE = 10, 5, 64
-SLICE_BYTES = 4 << 20
+K, S = 10, 5
+SLICE_BYTES = 1 << 20
+_ANCHOR = np.dtype([("hash", ">u4"), ("gap", "u1")])
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,60 +77,84 @@ def syncmers(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray,
     return [(at[cut[i]:cut[i + 1]], value[cut[i]:cut[i + 1]]) for i in range(len(texts))]
 
 
-def _sketch(text: str, at: np.ndarray, value: np.ndarray, size: int = SIZE) -> str:
-    """The fingerprint of a text from its syncmers."""
-    if not text:
-        return ""
-    if not len(at):
-        return f"{int.from_bytes(sha256(text.encode('utf-8', 'surrogatepass')).digest()[:4], 'big'):08x}:0"
-    few = size * 4
-    if len(value) > few:  # only the smallest can stay
-        bound = np.partition(value, few)[few]
-        small = np.flatnonzero(value <= bound)
-        if len(np.unique(value[small])) >= size:
-            at, value = at[small], value[small]
-    order = np.argsort(value, kind="stable")
-    value, at = value[order], at[order]
-    new = np.concatenate([[True], value[1:] != value[:-1]])  # the first position of each
-    value, at = value[new][:size], at[new][:size]
-    order = np.argsort(at, kind="stable")
-    return ",".join([f"{v:08x}:{p}" for v, p in zip(value[order].tolist(), at[order].tolist())])
-
-
-def fingerprints(texts: list[str], size: int = SIZE, k: int = K, s: int = S) -> list[str]:
-    """Per text its anchors as ``hash:position``, comma-joined in text order."""
-    return [_sketch(t, *own, size) for t, own in zip(texts, syncmers(texts, k, s))]
-
-
-def _edited(texts: list[str], nexts: list[str], own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[str], list[str]]:
-    """The edited texts and their fingerprints; anchors of what is kept are
-    taken over, only k-mers that reach into the new tail are looked at."""
+def _anchors(text: str, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's anchors: its syncmers, or the text itself if it has none."""
+    if len(at) or not text:
+        return at, value
+    own = int.from_bytes(sha256(text.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+    return np.zeros(1, np.int64), np.array([own], np.int64)
+
+
+def _coded(at: np.ndarray, value: np.ndarray) -> str:
+    out = np.empty(len(at), _ANCHOR)
+    out["hash"] = value
+    out["gap"] = np.diff(at, prepend=0)  # at most K - S: so many k-mers in a row have a syncmer
+    return out.tobytes().hex()
+
+
+def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """The positions and hashes of a fingerprint's anchors, in text order."""
+    out = np.frombuffer(bytes.fromhex(fingerprint), _ANCHOR)
+    return np.cumsum(out["gap"], dtype=np.int64), out["hash"].astype(np.int64)
+
+
+def fingerprints(texts: list[str]) -> list[str]:
+    """Per text all its anchors in text order, each as ten hex digits: eight of
+    the hash, two of the distance from the anchor before (or the text's start)."""
+    return [_coded(*_anchors(t, *own)) for t, own in zip(texts, syncmers(texts))]
+
+
+def _edited(texts: list[str], nexts: list[str], own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """The edited texts and their anchors; syncmers of what is kept are taken
+    over, only k-mers that reach into the new tail are looked at."""
     kept = [len(t) - len(t) // 4 for t in texts]
     edited = [t[:n] + x[:len(t) // 4] for t, n, x in zip(texts, kept, nexts)]
     begin = [max(0, n - K + 1) for n in kept]
     tails = syncmers([e[b:] for e, b in zip(edited, begin)])
-    prints = []
+    anchors = []
     for e, n, b, (at, value), (more, new) in zip(edited, kept, begin, own, tails):
         old = at + K <= n
-        prints.append(_sketch(e, np.concatenate([at[old], more + b]), np.concatenate([value[old], new])))
-    return edited, prints
-
-
-def likeness(a: str, b: str, size: int = SIZE) -> float:
+        anchors.append(_anchors(e, np.concatenate([at[old], more + b]), np.concatenate([value[old], new])))
+    return edited, anchors
+
+
+def _numbered(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors in order of (hash, place): keys of hash and occurrence, places."""
+    both = np.sort((value.astype(np.uint64) << _HALF) | np.arange(len(value), dtype=np.uint64))
+    hashes = both >> _HALF
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[:len(both)])
+    occurrence = np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both))))
+    return (hashes << _HALF) | occurrence.astype(np.uint64), (both & _LOW).astype(np.int64)
+
+
+def _likeness(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    (a, place_a), (b, place_b) = one, two
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    found = np.searchsorted(b, a)
+    hit = b[np.minimum(found, len(b) - 1)] == a
+    # the places in b of the shared anchors, in the order of a
+    shared = place_b[found[hit]][np.argsort(place_a[hit])]
+    return _longest_run(shared) / (len(a) + len(b) - len(shared))
+
+
+def _longest_run(places: np.ndarray) -> int:
+    """The length of the longest increasing run (with gaps) of distinct places."""
+    falls = np.flatnonzero(places[1:] < places[:-1])
+    if not len(falls):
+        return len(places)
+    tails = places[:falls[0] + 1].tolist()
+    for p in places[falls[0] + 1:].tolist():
+        if p > tails[-1]:
+            tails.append(p)
+        else:
+            tails[bisect_left(tails, p)] = p
+    return len(tails)
+
+
+def likeness(a: str, b: str) -> float:
     """0 to 1; 1 for equal fingerprints."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    one = dict(x.split(":") for x in a.split(","))
-    two = dict(x.split(":") for x in b.split(","))
-    least = sorted(one.keys() | two.keys())[:size]
-    shared = sorted((int(one[h]), int(two[h])) for h in least if h in one and h in two)
-    tails: list[int] = []  # the longest run of anchors in the same order
-    for _, p in shared:
-        i = bisect_left(tails, p)
-        tails[i:i + 1] = [p]
-    return len(tails) / len(least)
+    return _likeness(_numbered(decoded(a)[1]), _numbered(decoded(b)[1]))
 
 
 def _ranges(docs: DataFrame) -> list[tuple]:
@@ -177,12 +203,13 @@ def digest(docs: DataFrame) -> DataFrame:
             held = rows[-1]
             texts = [r[3] for r in rows]
             own = syncmers(texts)
-            prints = [_sketch(t, *x) for t, x in zip(texts, own)]
+            anchors = [_anchors(t, *x) for t, x in zip(texts, own)]
+            keys = [_numbered(value) for _, value in anchors]
             # a row is followed by its next document, or is the head that ends its range
             pairs = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
             edited, changed = _edited([texts[i] for i in pairs], [texts[i + 1] for i in pairs], [own[i] for i in pairs])
-            out = [(rows[i][2], len(texts[i]), sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), prints[i], c,
-                    likeness(prints[i], c), likeness(prints[i], prints[i + 1]))
+            out = [(rows[i][2], len(texts[i]), sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), _coded(*anchors[i]), _coded(*c),
+                    _likeness(keys[i], _numbered(c[1])), _likeness(keys[i], keys[i + 1]))
                    for i, e, c in zip(pairs, edited, changed)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)

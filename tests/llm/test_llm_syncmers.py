@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from helpers import rows_of
@@ -48,3 +49,45 @@ def test_edited_texts_are_nearer_than_strangers():
         edited = S.fingerprints([a[:2250] + b[:750]])[0]
         assert S.likeness(x, edited) > 0.35 and S.likeness(x, y) < 0.1
     assert S.likeness(prints[0], prints[0]) == 1.0 and S.likeness("", "") == 1.0 and S.likeness("", prints[0]) == 0.0
+
+
+def test_fingerprints_keep_every_anchor():
+    r = random.Random(9)
+    word = lambda m: "".join(r.choice("abcdefghijklmnop ") for _ in range(m))
+    line = word(40)
+    texts = [word(20000), (line + "\n") * 300, "a" * 3000, word(12), "short", ""]
+    for text, own, coded in zip(texts, S.syncmers(texts), S.fingerprints(texts)):
+        at, value = S.decoded(coded)
+        if len(own[0]):
+            assert np.array_equal(at, own[0]) and np.array_equal(value, own[1])
+        else:
+            assert len(at) == bool(text)
+
+
+def test_a_passage_shared_by_long_texts_shows():
+    r = random.Random(11)
+    word = lambda m: "".join(r.choice("abcdefghijklmnop ") for _ in range(m))
+    for size in (5000, 100000):
+        passage = word(300)
+        a, b = word(size) + passage + word(size), word(size // 2) + passage + word(size)
+        anchors = len(S.syncmers([passage])[0][0])
+        x, y = S.fingerprints([a, b])
+        union = len(S.decoded(x)[0]) + len(S.decoded(y)[0]) - anchors
+        # other k-mers may agree by chance, and then stand out of order
+        assert anchors > 70 and abs(S.likeness(x, y) * union - anchors) < 0.1 * anchors
+
+
+def test_every_occurrence_counts():
+    line = "the quick brown fox jumps over the lazy dog\n"
+    few, many = S.fingerprints([line * 10, line * 40])
+    assert 0.2 < S.likeness(few, many) < 0.3
+
+
+def test_likeness_against_longest_run():
+    r = random.Random(13)
+    for _ in range(50):
+        places = r.sample(range(40), r.randint(0, 12))
+        best = [0] * len(places)
+        for i, p in enumerate(places):
+            best[i] = 1 + max((best[j] for j in range(i) if places[j] < p), default=0)
+        assert S._longest_run(np.array(places, np.int64)) == max(best, default=0)
