@@ -137,12 +137,10 @@ def _share(rows: int, most: int):
     return lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1.0)
 
 
-def mine_terms(docs: DataFrame, labels: DataFrame, mine_rows: int, support: int = 6, most: int = 2000) -> np.ndarray:
+def mine_terms(docs: DataFrame, labels: DataFrame, mine_rows: int, support: int = 6) -> np.ndarray:
     """Hashes of words and word beginnings of labelled toxic documents that
     labelled good ones don't have, most frequent first.  Support counts
-    different following words, so copies of one text don't count twice;
-    ``most`` bounds the list."""
-    spark = docs.sparkSession
+    different following words, so copies of one text don't count twice."""
     few = labels.filter(_share(labels.count(), mine_rows)("doc_id")).groupBy("doc_id") \
                 .agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     few = few.select("doc_id", (F.col("toxic") == 1).alias("toxic")).filter("toxic") \
@@ -154,29 +152,37 @@ def mine_terms(docs: DataFrame, labels: DataFrame, mine_rows: int, support: int
     if len(size) < 2:
         return np.zeros(0, np.uint64)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, "utf8", SHARD_BYTES):
             unit, text, after = _units(batch)
-            both = np.unique(np.stack([unit, after], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64))], ["unit", "next"])
-
-    kept = (sample.filter("toxic").select("utf8").mapInArrow(pairs, "unit long, next long").distinct()
-            .groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
-            .orderBy(F.desc("n"), "unit").limit(4 * most).select("unit").collect())  # at most 4 * most rows
-    known = spark.sparkContext.broadcast(np.unique(np.array([r.unit for r in kept], np.int64).view(np.uint64)))
-
-    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches, "utf8", SHARD_BYTES):
-            unit, text, _ = _units(batch)
-            of = np.isin(unit, known.value)
-            both = np.unique(np.stack([unit[of], text[of].astype(np.uint64)], 1), axis=0)
-            toxic = np.array(batch.column("toxic").to_pylist(), bool)[both[:, 1].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0]).view(np.int64)), pa.array(toxic)], ["unit", "toxic"])
-
-    rates = sample.mapInArrow(frequency, "unit long, toxic boolean").groupBy("unit").agg(
-        F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("g"))
-    terms = rates.filter(F.col("g") * size[True] * 50 <= F.col("t") * size[False]).orderBy(F.desc("t"), "unit").limit(most)
-    return np.array([r.unit for r in terms.select("unit").collect()], np.int64).view(np.uint64)
+            toxic = np.array(batch.column("toxic").to_pylist(), bool)
+            of = toxic[text]
+            # the words that follow a unit in toxic texts; the texts of each kind that have it
+            pairs = _distinct(unit[of], after[of])
+            both = _distinct(unit, text.astype(np.uint64))
+            units, first = np.unique(both[0], return_index=True)
+            bad = np.concatenate([[0], np.cumsum(toxic[both[1].astype(np.int64)])])
+            ends = np.append(first[1:], len(both[0]))
+            t = bad[ends] - bad[first]
+            zeros = np.zeros(len(pairs[0]), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([pairs[0], units]).view(np.int64)),
+                 pa.array(np.concatenate([pairs[1], np.zeros(len(units), np.uint64)]).view(np.int64), mask=np.arange(len(zeros) + len(units)) >= len(zeros)),
+                 pa.array(np.concatenate([zeros, t])), pa.array(np.concatenate([zeros, ends - first - t]))], ["unit", "next", "t", "g"])
+
+    rates = sample.mapInArrow(counts, "unit long, next long, t long, g long").groupBy("unit").agg(
+        F.count_distinct("next").alias("n"), F.sum("t").alias("t"), F.sum("g").alias("g"))
+    terms = rates.filter((F.col("n") >= support) & (F.col("g") * size[True] * 50 <= F.col("t") * size[False]))
+    found = terms.orderBy(F.desc("t"), "unit").select("unit").collect()  # units of about mine_rows texts that toxic ones alone have
+    return np.array([r.unit for r in found], np.int64).view(np.uint64)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
+    return a[new], b[new]
 
 
 def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -68,3 +68,20 @@ def test_odd_rows_and_no_labels(spark):
     assert kept.columns == docs.columns
     assert Q.digest(docs.limit(0), none).count() == 0
     assert Q.digest(docs, spark.createDataFrame([(None, None, None), (1, 0, 1)], none.schema)).count() == len(rows)
+
+
+def test_rare_toxic_words_are_mined_among_many_common_ones(spark):
+    r = np.random.default_rng(3)
+    common = np.array([f"w{i:05d}" for i in range(9000)])
+    rows, marks = [], []
+    for i in range(90):
+        words = r.permutation(common).tolist()
+        if i < 6:
+            words.insert(100, "zorblax")
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i >= 30), int(i < 30)))
+    terms = Q.mine_terms(spark.createDataFrame(rows, "doc_id long, text string"),
+                         spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), 20_000)
+    word = Q.C.Words([b"zorblax"], Q.C.ALNUM_TABLE).hash
+    begin = Q.C.Words([b"zorbl"], Q.C.ALNUM_TABLE).hash ^ np.uint64(1)
+    assert sorted(terms.tolist()) == sorted([int(word[0]), int(begin[0])])
