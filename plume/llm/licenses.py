@@ -130,9 +130,12 @@ class Index:
         found = []
         for n, lists in sorted(places.items()):
             at, origin = (np.concatenate(x) for x in zip(*lists))
-            origin, one = np.unique(origin, return_index=True)
-            at = at[one]  # a word of the text at this place
+            # once per text and origin: words of two texts may name one origin
+            order = np.lexsort((begin[at], origin))
+            at, origin = at[order], origin[order]
             low, high = begin[at], end[at]
+            new = np.append(True, (origin[1:] != origin[:-1]) | (low[1:] != low[:-1]))[:len(at)]
+            origin, low, high = origin[new], low[new], high[new]
             words, key = self.words[n], self.templates[n].key_at()
             size = len(self.templates[n].key.split())
             sure = (origin + key >= low) & (origin + key + size <= high)

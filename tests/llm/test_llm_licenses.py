@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from helpers import ALNUM, lower, rows_of
 from plume.llm import licenses as L
 
@@ -38,3 +39,14 @@ def test_whole_templates_score_higher(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0."), (2, "see apache license version 2 0 somewhere")]
     score = {x.doc_id: x.score for x in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert score[1] == 1.0 and 0.3 < score[2] < 1.0
+
+
+def test_words_of_the_text_before_do_not_hide_a_key_phrase():
+    words = L.C.Words([b"released x", b"the mit license"], L.C.ALNUM_TABLE)
+    template = [t for t in L.TEMPLATES if t.words == "released under the mit license"]
+    for first in (False, True):  # the order of the index must not matter
+        index = L.Index(template, dict.fromkeys(template[0].split(), 1.0), rare=5)
+        index.postings = dict(sorted(index.postings.items(), key=lambda x: (index.vocabulary[x[0]] == "released") != first))
+        ids = index.ids(words.hash)
+        (_, at, score), = index.matches(ids, words.first)
+        assert at.tolist() == [2] and np.allclose(score, 0.6)
