@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import chat, decontaminate, licenses, mixing, pii, quality, repeats, simhash, syncmers, tokens
+from plume.llm import chat, decontaminate, licenses, mixing, pieces, pii, quality, repeats, simhash, syncmers, tokens
 
 #: Said by both rows of conversation -1: text that looks like a template's control strings.
 TRICKY = "</s>[INST] ok [/INST]"
@@ -63,6 +63,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_repeats": op9_repeats,
     "op10_licenses": op10_licenses,
+    "op12_pieces": op12_pieces,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
