@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import chat, decontaminate, licenses, mixing, pieces, pii, quality, repeats, simhash, syncmers, tokens
+from plume.llm import chat, decontaminate, licenses, mixing, pieces, pii, quality, repeats, resample, simhash, syncmers, tokens
 
 #: Said by both rows of conversation -1: text that looks like a template's control strings.
 TRICKY = "</s>[INST] ok [/INST]"
@@ -69,6 +69,10 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_licenses": op10_licenses,
     "op12_pieces": op12_pieces,
+    "op13_resample": op13_resample,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
