@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import chat, decontaminate, licenses, mixing, pieces, pii, quality, repeats, resample, simhash, syncmers, tokens
+from plume.llm import (align, chat, decontaminate, licenses, mixing, pieces, pii, quality, repeats, resample, simhash,
+                       syncmers, tokens)
 
 #: Said by both rows of conversation -1: text that looks like a template's control strings.
 TRICKY = "</s>[INST] ok [/INST]"
@@ -63,6 +64,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    return align.digest(_table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"))
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_repeats": op9_repeats,
     "op10_licenses": op10_licenses,
+    "op11_align": op11_align,
     "op12_pieces": op12_pieces,
     "op13_resample": op13_resample,
 }
