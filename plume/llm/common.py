@@ -168,7 +168,13 @@ class Words:
         place = (np.arange(lo, hi) - np.repeat(start, np.diff(np.append(start, hi)))) & 0xFFFF
         value = _BYTE[block] * _POWERS[place]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-        return mix(sums[end - lo] - sums[start - lo] + size.astype(np.uint64))
+        whole = sums[end - lo] - sums[start - lo]
+        for i in np.flatnonzero(size > 0x10000):  # powers repeat after 64 KiB: fold part by part
+            parts = np.append(np.arange(start[i], end[i], 0x10000), end[i]) - lo
+            whole[i] = 0
+            for part in sums[parts[1:]] - sums[parts[:-1]]:
+                whole[i:i + 1] = mix(whole[i:i + 1] * _BASE + part)
+        return mix(whole + size.astype(np.uint64))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

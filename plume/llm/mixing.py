@@ -17,8 +17,8 @@ out), the totals of the buckets are summed, and only then the rows within each
 bucket.  The global queue is summed the same way, in buckets of finish time.
 
 Defined cases: a null or blank text has size 0 and is never taken; the null
-source comes last; rows equal in doc_id, source and text share one place in
-the queue, and each gets the same words; an empty table gives no rows.
+source comes last; rows equal in doc_id, source and text stand one behind the
+other in the queue and are served in turn; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,10 +79,11 @@ def _running(rows: DataFrame, by: list[str], bucket: str, order: list, amount) -
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, key, rows, size, source_size, target, taken, place):
+    """(doc_id, source, key, rows, size, source_size, target, served, place):
     one row per distinct (doc_id, source, text), with how many rows it stands
-    for; ``taken`` is per row, ``place`` the words before it in the queue (of
-    its first round; null if nothing is taken)."""
+    for; ``served`` are the words that its rows get together in each round,
+    ``place`` the words before it in the queue (of its first round; null if
+    nothing is taken)."""
     groups = C.checkpoint(_sized(docs).groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("rows")))
     buckets = groups.count() // BUCKET + 1
     amount = F.col("size") * F.col("rows")
@@ -103,18 +104,32 @@ def mix(docs: DataFrame) -> DataFrame:
     ordered = _running(items, [], "bucket", ["finish", "key", "doc_id", "source", "round"], F.col("served"))
     before = F.col("sum") - F.col("served")
     cut = F.least(F.col("served"), F.greatest(F.lit(budget) - before, F.lit(0)))  # truncated at the budget
+    per_round = F.array(*(F.coalesce(F.sum(F.when(F.col("round") == i, cut)), F.lit(0)) for i in range(ROUNDS)))
     taken = (ordered.groupBy("doc_id", "source", "key", "size")
-             .agg(F.sum(F.floor(cut / F.col("rows"))).alias("taken"), F.min(before).alias("place")))
+             .agg(per_round.alias("served"), F.min(before).alias("place")))
     names = ["doc_id", "source", "key", "size"]
-    right = taken.select(*(F.col(c).alias(f"t_{c}") for c in names), "taken", "place")
+    right = taken.select(*(F.col(c).alias(f"t_{c}") for c in names), "served", "place")
     match = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in names]
     return queue.join(right, match, "left").select(
-        *names[:3], "rows", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "place")
+        *names[:3], "rows", "size", "source_size", "target", "served", "place")
+
+
+def _taken(copy: Column) -> Column:
+    """The words that the rows numbered ``copy`` (from 0) of a group take: in
+    each round what is left when the rows before them are served."""
+    left = F.transform("served", lambda s: F.least(F.greatest(s - copy * F.col("size"), F.lit(0)), F.col("size")))
+    return F.coalesce(F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")), F.lit(0))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", each).drop("copy")
+    mixed = mix(docs).select("doc_id", "size", "source_size", "target", "served", "rows")
+    # the rows of a large group are made in many tasks
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(BUCKET).cast("long"))).alias("first")
+    large = mixed.filter(F.col("rows") > BUCKET).select("*", blocks).repartition("doc_id", "size", "first")
+    last = F.least(F.col("first") + BUCKET, F.col("rows")) - 1
+    copies = [large.select("*", F.explode(F.sequence(F.col("first"), last)).alias("copy")).drop("first"),
+              mixed.filter(F.col("rows") <= BUCKET).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("copy"))]
+    return copies[0].unionByName(copies[1]).select("doc_id", "size", "source_size", "target", _taken(F.col("copy")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -123,13 +138,24 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     columns of these names).  ``taken`` counts words: whole rounds, and of the
     document at the edge of its source's target the first words.  The mix is
     read in order of ``place``."""
-    mixed = mix(docs).filter("taken > 0")
+    mixed = mix(docs).filter(F.exists("served", lambda s: s > 0))
     key, names = C.fresh(docs, "key"), {}
     keyed = docs.withColumn(key, _key(docs))
-    for c in ("size", "source_size", "target", "taken", "place"):
-        names[c] = C.fresh(docs, c)
+    added = ("size", "source_size", "target", "served", "rows", "place")
     right = mixed.select(F.col("key").alias("mix_key"), F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"),
-                         *(F.col(c).alias(f"mix_{c}") for c in names))
+                         *(F.col(c).alias(f"mix_{c}") for c in added))
     match = (F.col(key) == right["mix_key"]) & keyed["doc_id"].eqNullSafe(right["mix_id"]) & keyed["source"].eqNullSafe(right["mix_source"])
-    return keyed.join(right, match).select(*(keyed[c] for c in docs.columns), *(right[f"mix_{c}"].alias(n) for c, n in names.items()))
-
+    held = keyed.join(right, match).select(
+        F.struct(*(keyed[c] for c in docs.columns)).alias("row"), "mix_key", "mix_id", "mix_source",
+        *(F.col(f"mix_{c}").alias(c) for c in added))
+    # rows that are served alike in every round need no number among their group
+    even = F.forall("served", lambda s: (s == 0) | (s == F.col("size") * F.col("rows")))
+    uneven = held.filter(~even).withColumn("at", F.monotonically_increasing_id())
+    uneven = C.checkpoint(uneven).withColumn("bucket", F.shiftright("at", 33))
+    group = ["mix_key", "mix_id", "mix_source"]
+    numbered = _running(uneven, group, "bucket", ["at"], F.lit(1)).withColumn("taken", _taken(F.col("sum") - 1))
+    both = held.filter(even).withColumn("taken", _taken(F.lit(0).cast("long"))) \
+               .unionByName(numbered.drop("at", "bucket", "sum").select(*held.columns, "taken"))
+    for c in ("size", "source_size", "target", "taken", "place"):
+        names[c] = C.fresh(docs, c)
+    return both.filter("taken > 0").select("row.*", *(F.col(c).alias(n) for c, n in names.items()))

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plume.llm import common as C
@@ -132,9 +132,10 @@ class Terms:
 
 
 def _share(rows: int, most: int):
-    """A filter that keeps about ``most`` of ``rows`` rows by a hash."""
-    part = min(1.0, most / max(1, rows))
-    return lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1.0)
+    """A filter that keeps about ``most`` of ``rows`` rows by a hash: below a
+    limit of 62 bits, so the share holds for any number of rows."""
+    limit = min(1 << 62, (most << 62) // max(1, rows))
+    return lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 62)) < F.lit(limit)
 
 
 def mine_terms(docs: DataFrame, labels: DataFrame, mine_rows: int, support: int = 6) -> np.ndarray:
@@ -319,11 +320,19 @@ def fit(docs: DataFrame, labels: DataFrame, mine_rows: int = 20_000, train_rows:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(weights[at], bias))], ["at", "weight"])
 
     order = F.xxhash64("doc_id", "text")
-    sample = docs.filter(_share(int(counts.sum()), train_rows)("doc_id", "text")).select(order.alias("order"), C.utf8().alias("utf8"))
-    trained = (sample.mapInArrow(features, "order long, y double, features array<int>")
-               .repartition(1).sortWithinPartitions("order", "y")  # about train_rows rows
-               .mapInArrow(train, "at long, weight double").collect())  # at most WIDTH rows
-    for r in trained:
+
+    def trained(which: Column) -> list:
+        sample = docs.filter(which).select(order.alias("order"), C.utf8().alias("utf8"))
+        return (sample.mapInArrow(features, "order long, y double, features array<int>")
+                .dropDuplicates(["order"])  # rows equal in id and text train once, so the bound holds
+                .repartition(1).sortWithinPartitions("order")  # about train_rows rows
+                .mapInArrow(train, "at long, weight double").collect())  # at most WIDTH rows
+
+    rows = trained(_share(int(counts.sum()), train_rows)("doc_id", "text"))
+    if not rows:  # so few different rows that the hash leaves none: those with the smallest hash
+        least = docs.filter(F.trim(F.coalesce("text", F.lit(""))) != "").agg(F.min(order).alias("least")).first().least
+        rows = trained(order == least)
+    for r in rows:
         if r["at"] < 0:
             model.bias = r.weight
         else:

@@ -164,12 +164,11 @@ goals AS (
          (sum(source_size) OVER () - sum(CASE WHEN "full" THEN 3 * source_size ELSE 0 END) OVER ())::DOUBLE * weight
          / sum(CASE WHEN "full" THEN 0 ELSE weight END) OVER () END AS target FROM last),
 queue AS (
-  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, size) AS upto,
-         sum(size) OVER (PARTITION BY d.source, key, d.doc_id, size) AS mine,
-         count(*) OVER (PARTITION BY d.source, key, d.doc_id, size) AS n
+  SELECT d.*, source_size, target,  -- each row stands behind all rows before it, repeated ones too
+         sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, size, k ROWS UNBOUNDED PRECEDING) - size AS words_before
   FROM d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       sum(floor(greatest(least(floor(target - (upto - mine + source_size * round)), mine), 0) / n))::BIGINT AS taken
+SELECT doc_id, size, source_size, target,  -- a source's words are taken up to its target, three times round at most
+       sum(greatest(least(floor(target) - (words_before + source_size * round), size), 0))::BIGINT AS taken
 FROM queue, range(3) AS r(round) GROUP BY k, doc_id, size, source_size, target""",
     "op9_repeats": rf"""
 WITH d AS (

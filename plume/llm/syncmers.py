@@ -16,11 +16,12 @@ the ids alone) is also sent to the range before, so no range waits for another.
 Defined cases: null counts as empty; a text without a syncmer is its own only
 anchor, an empty text has none (likeness 1 to another empty one, else 0).
 Rows are in order of doc_id (null first), then of the text's hash and the
-text; a single row is its own next document.
+text; a single row is its own next document.  doc_id must be long.
 """
 
 from __future__ import annotations
 
+from base64 import b64decode, b64encode
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
@@ -89,18 +90,18 @@ def _coded(at: np.ndarray, value: np.ndarray) -> str:
     out = np.empty(len(at), _ANCHOR)
     out["hash"] = value
     out["gap"] = np.diff(at, prepend=0)  # at most K - S: so many k-mers in a row have a syncmer
-    return out.tobytes().hex()
+    return b64encode(out.tobytes()).decode()
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     """The positions and hashes of a fingerprint's anchors, in text order."""
-    out = np.frombuffer(bytes.fromhex(fingerprint), _ANCHOR)
+    out = np.frombuffer(b64decode(fingerprint), _ANCHOR)
     return np.cumsum(out["gap"], dtype=np.int64), out["hash"].astype(np.int64)
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    """Per text all its anchors in text order, each as ten hex digits: eight of
-    the hash, two of the distance from the anchor before (or the text's start)."""
+    """Per text all its anchors in text order, five bytes each in base64: four of
+    the hash, one of the distance from the anchor before (or the text's start)."""
     return [_coded(*_anchors(t, *own)) for t, own in zip(texts, syncmers(texts))]
 
 
@@ -177,13 +178,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     def parts(known: pd.Series, doc_id: pd.Series, hash_: pd.Series) -> pd.Series:
         own = starts.value
         out = []
-        for k, d, h in zip(known.tolist(), doc_id.fillna(0).astype("int64").tolist(), hash_.tolist()):
+        for k, d, h in zip(known.tolist(), doc_id.tolist(), hash_.tolist()):
             at = bisect_right(own, (k, d, h)) - 1
             # the first of a range also ends the one before (of the first range: the last)
             out.append([at, (at - 1) % len(own)] if own[at] == (k, d, h) else [at])
         return pd.Series(out)
 
-    dealt = keyed.select("*", F.posexplode(parts("known", "doc_id", "hash")).alias("copy", "part"))
+    # a column of long with nulls would reach pandas as doubles, which round large ids
+    own_id = F.coalesce("doc_id", F.lit(0).cast("long"))
+    dealt = keyed.select("*", F.posexplode(parts("known", own_id, "hash")).alias("copy", "part"))
     order = ["part", "copy", "known", "doc_id", "hash", "text"]
     return (dealt.repartition("part").sortWithinPartitions(*order)
             .select("part", (F.col("copy") == 1).alias("head"), "doc_id", "text"))

@@ -82,3 +82,13 @@ def test_clean_cuts_spans_and_keeps_other_columns(spark):
     assert out.columns == d.columns
     assert rows_of(out) == rows_of(spark.createDataFrame(
         [(1, "Keep this. ! And that", 5, "mine", 1), (3, None, 7, "mine", 1), (4, "clean", 8, "mine", 1)], out.schema))
+
+
+def test_words_of_70000_bytes_that_differ_by_a_swap(spark):
+    word = "ab" * 35_000
+    one = word[:3] + "x" + word[4:65_539] + "y" + word[65_540:]
+    two = word[:3] + "y" + word[4:65_539] + "x" + word[65_540:]
+    text = lambda long: " ".join([*(f"w{i}" for i in range(5)), long, *(f"v{i}" for i in range(4))])
+    docs = spark.createDataFrame([(1, text(one)), (2, text(two))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, text(one))], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in D.digest(docs, items).collect()} == {1: 10, 2: 0}

@@ -95,3 +95,18 @@ def test_rare_toxic_words_are_mined_among_many_common_ones(spark):
     word = Q.C.Words([b"zorblax"], Q.C.ALNUM_TABLE).hash
     begin = Q.C.Words([b"zorbl"], Q.C.ALNUM_TABLE).hash ^ np.uint64(1)
     assert sorted(terms.tolist()) == sorted([int(word[0]), int(begin[0])])
+
+
+@pytest.mark.parametrize("n", [1, 16_000, 10**9, 16_777_216_001, 5 * 10**10, 10**15])
+def test_samples_have_their_size_at_any_number_of_rows(spark, n):
+    limit = int(str(Q._share(n, 16_000)("id")._jc.toString()).rsplit(" ", 1)[1].rstrip("L)"))
+    assert limit / 2**62 * n == pytest.approx(min(n, 16_000), rel=1e-3)
+
+
+def test_one_document_repeated_beyond_the_sample(spark):
+    rows = [(7, "A quiet sentence about rivers and hills that goes on and on.")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for train_rows in (1, 16_000):
+        model = Q.fit(docs, none, train_rows=train_rows)
+        assert model.bias != 0

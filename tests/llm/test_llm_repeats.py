@@ -47,3 +47,15 @@ def test_texts_without_repeats_stay_and_columns_pass(spark):
     assert out.columns == df.columns
     assert rows_of(out, "doc_id", "text", "slot") == [(1, "Keep me", "a"), (2, "tail", "b"), (3, "as  it\nis", "c"), (4, None, "d")]
     assert R.digest(df.limit(0)).count() == 0
+
+
+def test_words_of_70000_bytes_that_differ_by_a_swap(spark):
+    word = "ab" * 35_000
+    other = word[:3] + "x" + word[4:65_539] + "y" + word[65_540:]
+    swapped = other[:3] + "y" + other[4:65_539] + "x" + other[65_540:]
+    rest = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*rest[:20], long, *rest[20:]])) for i, long in enumerate((other, swapped))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, names = R._kept(df, 35)
+    assert rows_of(kept.select("doc_id", names["n_words"], names["n_removed"], F.sha2(names["kept"], 256))) == brute(rows, 35)
+    assert {r.n_removed for r in R.digest(df).collect()} == {0}

@@ -32,6 +32,12 @@ def test_digest_against_brute_force(spark):
     assert S.digest(df.limit(0)).count() == 0
 
 
+def test_no_document_is_lost_beside_a_null_id(spark):
+    rows = [(2**60 + i, f"text of document {i} " * 5) for i in range(3000)] + [(None, "no id"), (2**60 + 7, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(S.digest(df)) == brute(spark, rows)
+
+
 def test_syncmers_are_closed_and_free_of_context():
     r = random.Random(4)
     text = "".join(r.choice("abcdefgh ") for _ in range(500))
