@@ -32,7 +32,7 @@ import heapq
 import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +46,9 @@ SLICE_BYTES = 1 << 20
 #: longest chunk remembered.
 MEMORY, REMEMBERED = 300_000, 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+#: Chunks of at most so many symbols keep their agenda as a list, longer ones as a heap.
+SHORT = 40
+NEVER = 1 << 40
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -72,10 +75,14 @@ class Vocabulary:
         #: pieces of equal score have equal places in the agenda
         place = {s: n for n, s in enumerate(sorted({p.score for p in proto.pieces}, reverse=True))}
         self.size = len(proto.pieces)
-        #: two adjacent identifiers, packed, to place and identifier of what they make, packed
-        self.merge = {left * self.size + right: place[proto.pieces[made].score] * self.size + made
-                      for piece, made in self.number.items() for k in range(1, len(piece))
-                      if (left := self.number.get(piece[:k])) is not None and (right := self.number.get(piece[k:])) is not None}
+        #: two adjacent identifiers, packed, to the place of what they make, and to its identifier
+        self.place, self.made = {}, {}
+        for piece, made in self.number.items():
+            for k in range(1, len(piece)):
+                left, right = self.number.get(piece[:k]), self.number.get(piece[k:])
+                if left is not None and right is not None:
+                    self.place[left * self.size + right] = place[proto.pieces[made].score]
+                    self.made[left * self.size + right] = made
         if any(c not in self.number for p in self.number for c in p):
             raise ValueError("a piece holds a character that is no piece")
         self.pattern = _cuts([p for p in self.number if len(p) > 1])
@@ -83,17 +90,50 @@ class Vocabulary:
         self.said = [p.piece.replace(MARK, " ") if p.type == NORMAL else "" for p in proto.pieces]
         self.value = {i: b for b, i in self.byte.items()}
         self.unknown = {i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN}
+        #: identifiers from here on are ordinary pieces
+        self.plain = 1 + max(i for i, p in enumerate(proto.pieces) if p.type != NORMAL)
+        self.names = [str(i) for i in range(self.size)]
         self.unknown_said = proto.trainer_spec.unk_surface
 
     def encode(self, chunk: str) -> tuple[int, ...]:
         """Identifiers of a marked chunk, by the agenda."""
-        find, size = self.merge.get, self.size
-        symbols = [self.number.get(c, -1) for c in chunk]
+        number = self.number
+        symbols = [number.get(c, -1) for c in chunk]
+        if -1 in symbols:  # a character that is no piece joins nothing
+            out: list[int] = []
+            for known, part in groupby(chunk, number.__contains__):
+                if known:
+                    out.extend(self._merged([number[c] for c in part]))
+                else:
+                    out.extend(self.byte[b] for b in "".join(part).encode("utf-8", "surrogatepass"))
+            return tuple(out)
+        return tuple(self._merged(symbols))
+
+    def _merged(self, symbols: list[int]) -> list[int]:
+        if len(symbols) > SHORT:
+            return self._merged_long(symbols)
+        # a short agenda is a list beside the symbols: the place of each pair
+        place, made, size = self.place, self.made, self.size
+        agenda = [place.get(a * size + b, NEVER) for a, b in pairwise(symbols)]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)  # the leftmost of equals
+            new = made[symbols[i] * size + symbols.pop(i + 1)]
+            symbols[i] = new
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = place.get(new * size + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = place.get(symbols[i - 1] * size + new, NEVER)
+        return symbols
+
+    def _merged_long(self, symbols: list[int]) -> list[int]:
+        """The same with a heap of (place, position) and linked symbols."""
+        place, made, size = self.place.get, self.made, self.size
         n = len(symbols)
-        agenda = []  # place of the made piece, then place in the text
-        for i in range(n - 1):
-            if symbols[i] >= 0 <= symbols[i + 1] and (made := find(symbols[i] * size + symbols[i + 1])) is not None:
-                agenda.append(made // size << 40 | i)
+        agenda = [at << 40 | i for i, (a, b) in enumerate(pairwise(symbols)) if (at := place(a * size + b)) is not None]
         heapq.heapify(agenda)
         pop, push = heapq.heappop, heapq.heappush
         after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
@@ -101,35 +141,24 @@ class Vocabulary:
             entry = pop(agenda)
             i = entry & 0xFFFFFFFFFF
             j = after[i]
-            if gone[i] or j >= n or symbols[j] < 0:
-                continue  # the left side was merged away, or nothing to merge follows
-            made = find(symbols[i] * size + symbols[j])
-            if made is None or made // size != entry >> 40:
-                continue  # one side has grown since; its own entry stands elsewhere
-            symbols[i], gone[j] = made % size, True
+            if gone[i] or j >= n or place(pair := symbols[i] * size + symbols[j]) != entry >> 40:
+                continue  # a side was merged away or has grown since; the pair of now has an entry of its own
+            symbols[i], gone[j] = made[pair], True
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if symbols[k] >= 0 and (new := find(symbols[i] * size + symbols[k])) is not None:
-                    push(agenda, new // size << 40 | i)
+                if (at := place(symbols[i] * size + symbols[k])) is not None:
+                    push(agenda, at << 40 | i)
             h = before[i]
-            if h >= 0 and symbols[h] >= 0 and (new := find(symbols[h] * size + symbols[i])) is not None:
-                push(agenda, new // size << 40 | h)
-        if -1 not in symbols:
-            return tuple([s for s, g in zip(symbols, gone) if not g])
-        out: list[int] = []
-        for s, g, c in zip(symbols, gone, chunk):
-            if s >= 0 and not g:
-                out.append(s)
-            elif s < 0:
-                out.extend(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
-        return tuple(out)
+            if h >= 0 and (at := place(symbols[h] * size + symbols[i])) is not None:
+                push(agenda, at << 40 | h)
+        return [s for s, g in zip(symbols, gone) if not g]
 
     def decode(self, ids: list[int]) -> str:
         """The text of identifiers; bytes that are no UTF-8 become U+FFFD."""
         value, said = self.value, self.said
-        if value.keys().isdisjoint(ids) and self.unknown.isdisjoint(ids):
-            text = "".join([said[i] for i in ids])
+        if not ids or min(ids) >= self.plain:
+            text = "".join(map(said.__getitem__, ids))
         else:
             parts, held = [], bytearray()
             for i in ids:
@@ -209,7 +238,7 @@ def _worker(path: str, vocabulary: Vocabulary, model: bytes) -> tuple:
 
 
 def _each_batch(docs: DataFrame, model_path: str, columns: list[str], schema: str,
-                make: Callable[[pa.RecordBatch, list[list[int]], list[str], list[bool]], list[pa.Array]]) -> DataFrame:
+                make: Callable[[pa.RecordBatch, Vocabulary, list[list[int]], list[str], list[bool]], list[pa.Array]]) -> DataFrame:
     """Encode, decode and check the texts; ``make`` turns a batch into columns."""
     C.ship(docs.sparkSession)
     with open(model_path, "rb") as f:
@@ -226,7 +255,7 @@ def _each_batch(docs: DataFrame, model_path: str, columns: list[str], schema: st
             decoded = [vocabulary.decode(i) for i in ids]
             agrees = [a == b and c == d for a, b, c, d in zip(
                 ids, library.encode(texts, num_threads=1), decoded, library.decode(ids, num_threads=1))]
-            yield pa.RecordBatch.from_arrays(make(batch, ids, decoded, agrees), names)
+            yield pa.RecordBatch.from_arrays(make(batch, vocabulary, ids, decoded, agrees), names)
 
     text = F.coalesce("text", F.lit("")).alias("text")
     return docs.select(*columns, text).mapInArrow(run, schema)
@@ -234,7 +263,7 @@ def _each_batch(docs: DataFrame, model_path: str, columns: list[str], schema: st
 
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id") -> DataFrame:
     """``key`` (long), ids (array of int), decoded, agrees: a row per row."""
-    def make(batch, ids, decoded, agrees):
+    def make(batch, vocabulary, ids, decoded, agrees):
         return [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())]
 
     return _each_batch(docs, model_path, [key], f"{key} long, ids array<int>, decoded string, agrees boolean", make)
@@ -245,8 +274,8 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
     def sha(text: str) -> str:
         return sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def make(batch, ids, decoded, agrees):
-        return [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([sha(",".join(map(str, i))) for i in ids]),
+    def make(batch, vocabulary, ids, decoded, agrees):
+        return [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([sha(",".join(map(vocabulary.names.__getitem__, i))) for i in ids]),
                 pa.array(map(sha, decoded)), pa.array(agrees, pa.bool_())]
 
     return _each_batch(docs, model_path, ["doc_id"],
