@@ -15,6 +15,10 @@ the pairs that can ever be linked follow from the vocabularies alone (the sum of
 the token lengths at most, whatever the corpus): they are numbered, counts are
 one vector per task, and the sums (bounded in that way) are broadcast.
 
+Texts are cut into chunks at whose ends both tokenizers end a token.  The new
+chunks of a batch are encoded and searched in a row, and a worker remembers what
+short ones gave; a text is put together from its chunks.
+
 Scale: one narrow pass over the texts writes a row per document with its link
 numbers to the shared folder; counts and the final columns are two narrow
 passes over these rows.  Nothing is shuffled but the vectors of counts.
@@ -28,10 +32,13 @@ are left alone.
 from __future__ import annotations
 
 import json
+import os
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +104,7 @@ class Pairs:
         codes.update(i * len(b) + j for j, i in _suffix_pairs(b, a))
         #: identifier of a times the size of b, plus that of b; sorted
         self.codes = np.array(sorted(codes), np.int64)
+        self.names = [str(i) for i in range(max(len(a), len(b)))]
 
     def numbers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.codes, a * len(self.b) + b)
@@ -116,21 +124,23 @@ def _suffix_pairs(long: list[bytes], short: list[bytes]) -> Iterator[tuple[int,
                 yield i, j
 
 
-def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[bool]]:
+def gallop(short: list[int], long: list[int]) -> list[int]:
     """For each number of the rising list ``short`` its rank in the rising list
-    ``long`` (how many are smaller), and whether it stands there."""
-    ranks, common = [], []
-    at, n = 0, len(long)
+    ``long``: how many are smaller."""
+    ranks, at, n = [], 0, len(long)
+    if not n or short and short[-1] > long[-1]:
+        long = [*long, float("inf")]  # every search ends inside
     for value in short:
-        if at < n and long[at] < value:
-            low, step = at, 1
-            while low + step < n and long[low + step] < value:
-                low += step
-                step += step
-            at = bisect_left(long, value, low + 1, min(low + step, n))
+        if long[at] < value:
+            at += 1
+            if long[at] < value:
+                step = 1
+                while at + step < n and long[at + step] < value:
+                    at += step
+                    step += step
+                at = bisect_left(long, value, at + 1, min(at + step, n))
         ranks.append(at)
-        common.append(at < n and long[at] == value)
-    return ranks, common
+    return ranks
 
 
 class Alignment:
@@ -141,8 +151,8 @@ class Alignment:
     def __init__(self, a_end: np.ndarray, b_end: np.ndarray) -> None:
         turned = len(b_end) < len(a_end)
         short, long = (b_end, a_end) if turned else (a_end, b_end)
-        ranks, common = gallop(short.tolist(), long.tolist())
-        self.turned, self.ranks, self.common = turned, np.array(ranks, np.int64), np.array(common, bool)
+        self.turned, self.ranks = turned, np.array(gallop(short.tolist(), long.tolist()), np.int64)
+        self.common = long[self.ranks] == short if len(short) else np.zeros(0, bool)  # both end with the text
         hit = np.flatnonzero(self.common)
         cuts = hit + 1, self.ranks[hit] + 1
         self.a_cut, self.b_cut = cuts[::-1] if turned else cuts
@@ -154,53 +164,150 @@ class Alignment:
         first = np.concatenate([[0], self.ranks[:-1] + self.common[:-1]]) if len(self.ranks) else self.ranks
         return first, self.ranks
 
-    @property
-    def overlaps(self) -> int:
+    def overlaps(self) -> np.ndarray:
+        """How many tokens of the longer list each token of the shorter one overlaps."""
         first, last = self.ranges()
-        return int((last - first + 1).sum())
+        return last - first + 1
 
 
-_workers: dict[tuple[str, str], tuple] = {}
+#: Letters and digits that every version of Unicode knows, and marks that no
+#: piece may join to them.
+_WORD, _MARKS = "A-Za-z0-9À-ÖØ-öø-ɏ", ".,;:!?)"
+#: Chunks, at whose ends both tokenizers end a token: before a space or newline
+#: behind a visible character, behind a lone newline, between word and mark.
+_CHUNK = re.compile(
+    rf" ?[{_WORD}]+(?=[ \n{_MARKS}])|[{_MARKS}]+(?=[ \n])|\n(?=[\w!-~])|"
+    rf"(?s:.+?)(?:(?<=[\w!-~])(?=[ \n])|(?<=[\w!-~]\n)(?=[\w!-~])|(?<=[{_WORD}])(?=[{_MARKS}])|\Z)")
+#: Chunks remembered in a worker (about 400 bytes each), and the longest.
+MEMORY, REMEMBERED = 300_000, 64
 
 
-def _tokenizers(a_path: str, b_path: str) -> tuple:
-    """A worker's two tokenizers, loaded once; one thread each."""
-    key = a_path, b_path
-    if key not in _workers:
-        import os
+def _cuttable(a_path: str, b_path: str) -> bool:
+    """Whether both tokenizers end a token at the end of each chunk: a splits
+    words, marks and white space as byte-level tokenizers do by default; no
+    piece of b bears a mark behind a word, a newline, or ``▁`` but in front."""
+    import sentencepiece
+
+    with open(a_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    words = spec.get("pre_tokenizer") or {}
+    sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    crossing = re.compile(rf"\n|[^{MARK}]{MARK}|[{_WORD}][{_MARKS}]")
+    return (words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
+            and not spec.get("normalizer")
+            and not any(crossing.search(sp.id_to_piece(i)) for i in range(sp.get_piece_size())))
+
 
+class Aligned(NamedTuple):
+    """A chunk: its tokens, its pairs of overlapping tokens, the text of its
+    groups and the numbers of its links (int32); ``same``: neither tokenizer
+    changes it."""
+
+    n_a: int
+    n_b: int
+    overlaps: int
+    groups: str
+    links: bytes
+    same: bool
+
+
+class Aligner:
+    """Both tokenizers in a worker, one thread each, and the chunks aligned."""
+
+    def __init__(self, pairs: Pairs, a_path: str, b_path: str, cuttable: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
-        a = Tokenizer.from_file(a_path)
-        a.encode_special_tokens = True
-        _workers[key] = a, sentencepiece.SentencePieceProcessor(model_file=b_path)
-    return _workers[key]
+        self.pairs = pairs
+        self.a = Tokenizer.from_file(a_path)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.cut = _CHUNK.findall if cuttable else lambda text: [text]
+        #: what the library puts before a newline and its text
+        self.before = len(self.b.encode("\n"))
+        lone = self.b.piece_to_id(MARK)
+        #: what b makes of a space alone (an empty text for the library)
+        self.lone = [self.b.piece_to_id(f"<0x{x:02X}>") for x in MARK.encode()] if self.b.is_unknown(lone) else [lone]
+        self.known: dict[str, Aligned] = {}
+
+    def ids(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Identifiers of the chunks, and whether both token lists spell them."""
+        a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        # the library puts a space before a text: it takes a chunk's own, or stands before a newline that goes again
+        opened = self.b.encode([c[1:] if c[0] == " " else "\n" + c for c in chunks], num_threads=1)
+        b = [self.lone if c == " " else y if c[0] == " " else y[self.before:] for c, y in zip(chunks, opened)]
+        spell_a, spell_b = self.pairs.a.__getitem__, self.pairs.b.__getitem__
+        same = [b"".join(map(spell_a, x)) == c.encode("utf-8", "surrogatepass") == b"".join(map(spell_b, y))
+                for c, x, y in zip(chunks, a, b)]
+        return a, b, same
+
+    def align(self, chunks: list[str]) -> None:
+        """Align chunks that are not known, all in a row: chunks end together,
+        so one search runs through the ends of them all."""
+        a, b, same = self.ids(chunks)
+        for c, s in zip(chunks, same):
+            if not s:
+                self.known[c] = Aligned(0, 0, 0, "", b"", False)
+        rows = [(c, x, y) for c, x, y, s in zip(chunks, a, b, same) if s]
+        n_a, n_b = (np.array([len(r[k]) for r in rows], np.int64) for k in (1, 2))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(r[k] for r in rows), np.int64) for k in (1, 2))
+        a_end, b_end = np.cumsum(self.pairs.a_size[a_ids]), np.cumsum(self.pairs.b_size[b_ids])
+        found = Alignment(a_end, b_end)
+        links = self.pairs.numbers(a_ids[found.a_cut - 1], b_ids[found.b_cut - 1]).astype(np.int32)
+        a_to, b_to = np.cumsum(n_a), np.cumsum(n_b)
+        group_to = np.searchsorted(found.a_cut, a_to, "right")
+        groups = _group_texts(a_ids, b_ids, found, self.pairs.names)
+        over = np.concatenate([[0], np.cumsum(found.overlaps())])[np.concatenate([[0], b_to if found.turned else a_to])]
+        g = 0
+        for (c, x, y), to, n in zip(rows, group_to.tolist(), np.diff(over).tolist()):
+            self.known[c] = Aligned(len(x), len(y), n, ";".join(groups[g:to]), links[g:to].tobytes(), True)
+            g = to
+
+    def __call__(self, texts: list[str]) -> list[list[Aligned]]:
+        """The aligned chunks of a space and each text; none of a text that a
+        tokenizer changes, nor of an empty one."""
+        cut = [self.cut(" " + t) if t else [] for t in texts]
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        new = list({c for chunks in cut for c in chunks if c not in self.known})
+        if new:
+            self.align(new)
+        out = []
+        for chunks in cut:
+            found = list(map(self.known.__getitem__, chunks))
+            out.append(found if all(f.same for f in found) else [])
+        for c in new:
+            if len(c) > REMEMBERED:
+                del self.known[c]
+        return out
+
+
+def _group_texts(a_ids: np.ndarray, b_ids: np.ndarray, found: Alignment, names: list[str]) -> list[str]:
+    """``a1,a2|b1``: the identifiers of each group in order."""
+    a, b = ([names[i] for i in ids.tolist()] for ids in (a_ids, b_ids))
+    out, i, j = [], 0, 0
+    for k, m in zip(found.a_cut.tolist(), found.b_cut.tolist()):
+        out.append(f"{a[i] if k == i + 1 else ','.join(a[i:k])}|{b[j] if m == j + 1 else ','.join(b[j:m])}")
+        i, j = k, m
+    return out
 
 
-def _encoded(texts: list[str], pairs: Pairs, a_path: str, b_path: str) -> list[tuple[list[int], list[int]]]:
-    """Identifiers of both tokenizers; none where a tokenizer changes the text."""
-    a, b = _tokenizers(a_path, b_path)
-    a_ids = [e.ids for e in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-    out = []
-    for text, x, y in zip(texts, a_ids, b.encode(texts, num_threads=1)):
-        data = b" " + text.encode("utf-8", "surrogatepass")
-        same = text and b"".join([pairs.a[i] for i in x]) == data == b"".join([pairs.b[i] for i in y])
-        out.append((x, y) if same else ([], []))
-    return out
+_workers: dict[tuple[str, str], Aligner] = {}
 
 
-def _row(x: list[int], y: list[int], pairs: Pairs) -> tuple[Alignment, np.ndarray]:
-    """The alignment of two token lists and the numbers of their links."""
-    a, b = np.array(x, np.int64), np.array(y, np.int64)
-    found = Alignment(np.cumsum(pairs.a_size[a]), np.cumsum(pairs.b_size[b]))
-    return found, pairs.numbers(a[found.a_cut - 1], b[found.b_cut - 1])
+def _aligner(shared: tuple) -> Aligner:
+    """A worker's aligner of two files, made once."""
+    key = shared[1:3]
+    if key not in _workers:
+        _workers[key] = Aligner(*shared)
+    return _workers[key]
 
 
 def _shared(spark: SparkSession, a_path: str, b_path: str):
     C.ship(spark)
-    return spark.sparkContext.broadcast(Pairs(byte_level_tokens(a_path), piece_tokens(b_path)))
+    pairs = Pairs(byte_level_tokens(a_path), piece_tokens(b_path))
+    return spark.sparkContext.broadcast((pairs, a_path, b_path, _cuttable(a_path, b_path)))
 
 
 def _texts(docs: DataFrame, *columns: str) -> DataFrame:
@@ -210,52 +317,50 @@ def _texts(docs: DataFrame, *columns: str) -> DataFrame:
 def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id") -> DataFrame:
     """Per row ``key`` (long), a_ids, b_ids, and a_cut, b_cut: the numbers of
     tokens of each up to the end of every group; and per token of a the first
-    and last token of b that it overlaps (a_first, a_last)."""
+    and last token of b that it overlaps (a_first, a_last).  Whole texts are
+    encoded and searched."""
     shared = _shared(docs.sparkSession, a_path, b_path)
     names = [key, "a_ids", "b_ids", "a_cut", "b_cut", "a_first", "a_last"]
     ints = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = shared.value
+        aligner = _aligner(shared.value)
+        sizes = aligner.pairs.a_size, aligner.pairs.b_size
         for batch in C.slices(batches, "text", SLICE_BYTES):
+            texts = batch.column("text").to_pylist()
             rows = []
-            for x, y in _encoded(batch.column("text").to_pylist(), pairs, a_path, b_path):
-                found, _ = _row(x, y, pairs)
+            for text, *ids, same in zip(texts, *aligner.ids([" " + t for t in texts])):
+                x, y = (np.array(i if text and same else [], np.int64) for i in ids)
+                found = Alignment(np.cumsum(sizes[0][x]), np.cumsum(sizes[1][y]))
                 first, last = found.ranges()
                 if found.turned:  # ranges of a's tokens from those of b's
                     own = np.arange(len(x))
                     first, last = np.searchsorted(last, own, "left"), np.searchsorted(first, own, "right") - 1
                 rows.append((x, y, found.a_cut, found.b_cut, first, last))
-            columns = [pa.array([np.asarray(v, np.int32) for v in c], ints) for c in zip(*rows)]
+            columns = [pa.array([v.astype(np.int32) for v in c], ints) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     return _texts(docs, key).mapInArrow(run, f"{key} long, " + ", ".join(f"{n} array<int>" for n in names[1:]))
 
 
-def _groups_text(x: list[int], y: list[int], found: Alignment) -> str:
-    """``a1,a2|b1;a3|b2,b3``: identifiers of each group in order."""
-    a, b = list(map(str, x)), list(map(str, y))
-    parts, i, j = [], 0, 0
-    for k, m in zip(found.a_cut.tolist(), found.b_cut.tolist()):
-        parts.append(f"{a[i] if k == i + 1 else ','.join(a[i:k])}|{b[j] if m == j + 1 else ','.join(b[j:m])}")
-        i, j = k, m
-    return ";".join(parts)
-
-
-def _linked(docs: DataFrame, shared, a_path: str, b_path: str) -> DataFrame:
+def _linked(docs: DataFrame, shared) -> DataFrame:
     """doc_id, the counts and digest of the groups, and the link numbers."""
     names = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "n_overlaps", "links"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = shared.value
+        aligner = _aligner(shared.value)
         for batch in C.slices(batches, "text", SLICE_BYTES):
-            rows = []
-            for d, (x, y) in zip(batch.column(0).to_pylist(), _encoded(batch.column("text").to_pylist(), pairs, a_path, b_path)):
-                found, links = _row(x, y, pairs)
-                digest_ = sha256(_groups_text(x, y, found).encode()).hexdigest() if x else ""
-                rows.append((d, len(x), len(y), len(links), digest_, found.overlaps, links.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            rows, links = [], []
+            for d, chunks in zip(batch.column(0).to_pylist(), aligner(batch.column("text").to_pylist())):
+                own = b"".join([c.links for c in chunks])
+                text = sha256(";".join([c.groups for c in chunks]).encode()).hexdigest() if chunks else ""
+                rows.append((d, sum([c.n_a for c in chunks]), sum([c.n_b for c in chunks]), len(own) // 4, text,
+                             sum([c.overlaps for c in chunks])))
+                links.append(own)
+            ends = np.cumsum([0, *(len(x) // 4 for x in links)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(links), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), lists], names)
 
     return _texts(docs, "doc_id").mapInArrow(
         run, "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_overlaps long, links array<int>")
@@ -263,7 +368,7 @@ def _linked(docs: DataFrame, shared, a_path: str, b_path: str) -> DataFrame:
 
 def link_counts(linked: DataFrame, shared) -> np.ndarray:
     """Per numbered pair how many links of the corpus hold it."""
-    size = len(shared.value.codes)
+    size = len(shared.value[0].codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size, np.int64)
@@ -286,11 +391,12 @@ def digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     spark = docs.sparkSession
     shared = _shared(spark, a_path, b_path)
     path = scratch_path(spark, "aligned")
-    _linked(docs, shared, a_path, b_path).write.parquet(path)
+    _linked(docs, shared).write.parquet(path)
     linked = spark.read.parquet(path)
     counts = link_counts(linked, shared)
-    b_of = shared.value.b_of()
-    highest = np.zeros(len(shared.value.b), np.int64)
+    pairs = shared.value[0]
+    b_of = pairs.b_of()
+    highest = np.zeros(len(pairs.b), np.int64)
     np.maximum.at(highest, b_of, counts)
     known = spark.sparkContext.broadcast((counts, counts == highest[b_of]))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps"]
