@@ -38,7 +38,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -198,17 +197,11 @@ def _cuttable(a_path: str, b_path: str) -> bool:
             and not any(crossing.search(sp.id_to_piece(i)) for i in range(sp.get_piece_size())))
 
 
-class Aligned(NamedTuple):
-    """A chunk: its tokens, its pairs of overlapping tokens, the text of its
-    groups and the numbers of its links (int32); ``same``: neither tokenizer
-    changes it."""
-
-    n_a: int
-    n_b: int
-    overlaps: int
-    groups: str
-    links: bytes
-    same: bool
+#: A chunk: its tokens of a and of b, its pairs of overlapping tokens, the text
+#: of its groups and the numbers of its links (int32); None if a tokenizer
+#: changes it.  Plain tuples of compact values: the garbage collector leaves
+#: them alone.
+Aligned = tuple[int, int, int, str, bytes] | None
 
 
 class Aligner:
@@ -248,7 +241,7 @@ class Aligner:
         a, b, same = self.ids(chunks)
         for c, s in zip(chunks, same):
             if not s:
-                self.known[c] = Aligned(0, 0, 0, "", b"", False)
+                self.known[c] = None
         rows = [(c, x, y) for c, x, y, s in zip(chunks, a, b, same) if s]
         n_a, n_b = (np.array([len(r[k]) for r in rows], np.int64) for k in (1, 2))
         a_ids, b_ids = (np.fromiter(chain.from_iterable(r[k] for r in rows), np.int64) for k in (1, 2))
@@ -261,7 +254,7 @@ class Aligner:
         over = np.concatenate([[0], np.cumsum(found.overlaps())])[np.concatenate([[0], b_to if found.turned else a_to])]
         g = 0
         for (c, x, y), to, n in zip(rows, group_to.tolist(), np.diff(over).tolist()):
-            self.known[c] = Aligned(len(x), len(y), n, ";".join(groups[g:to]), links[g:to].tobytes(), True)
+            self.known[c] = len(x), len(y), n, ";".join(groups[g:to]), links[g:to].tobytes()
             g = to
 
     def __call__(self, texts: list[str]) -> list[list[Aligned]]:
@@ -276,7 +269,7 @@ class Aligner:
         out = []
         for chunks in cut:
             found = list(map(self.known.__getitem__, chunks))
-            out.append(found if all(f.same for f in found) else [])
+            out.append([] if None in found else found)
         for c in new:
             if len(c) > REMEMBERED:
                 del self.known[c]
@@ -353,10 +346,10 @@ def _linked(docs: DataFrame, shared) -> DataFrame:
         for batch in C.slices(batches, "text", SLICE_BYTES):
             rows, links = [], []
             for d, chunks in zip(batch.column(0).to_pylist(), aligner(batch.column("text").to_pylist())):
-                own = b"".join([c.links for c in chunks])
-                text = sha256(";".join([c.groups for c in chunks]).encode()).hexdigest() if chunks else ""
-                rows.append((d, sum([c.n_a for c in chunks]), sum([c.n_b for c in chunks]), len(own) // 4, text,
-                             sum([c.overlaps for c in chunks])))
+                n_a, n_b, overlaps, groups, own = zip(*chunks) if chunks else ((), (), (), (), ())
+                own = b"".join(own)
+                text = sha256(";".join(groups).encode()).hexdigest() if chunks else ""
+                rows.append((d, sum(n_a), sum(n_b), len(own) // 4, text, sum(overlaps)))
                 links.append(own)
             ends = np.cumsum([0, *(len(x) // 4 for x in links)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(links), np.int32)))

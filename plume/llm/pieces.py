@@ -44,7 +44,7 @@ MARK = "▁"
 SLICE_BYTES = 1 << 20
 #: Chunks remembered per generation and worker (about 250 bytes each), and the
 #: longest chunk remembered.
-MEMORY, REMEMBERED = 300_000, 64
+MEMORY, REMEMBERED = 600_000, 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks of at most so many symbols keep their agenda as a list, longer ones as a heap.
 SHORT = 40

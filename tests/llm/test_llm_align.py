@@ -105,8 +105,8 @@ def test_chunks_end_where_both_tokenizers_end_a_token(paths):
         assert "".join(chunks) == " " + text
         xs, ys, _ = aligner.ids(chunks)
         assert [i for c in xs for i in c] == x and [i for c in ys for i in c] == y, text
-    total = lambda found: [(sum(c.n_a for c in f), sum(c.n_b for c in f), sum(c.overlaps for c in f), ";".join(c.groups for c in f),
-                            b"".join(c.links for c in f)) for f in found]
+    total = lambda found: [(sum(c[0] for c in f), sum(c[1] for c in f), sum(c[2] for c in f), ";".join(c[3] for c in f),
+                            b"".join(c[4] for c in f)) for f in found]
     first = total(aligner(texts))
     assert first == total(whole(texts)) == total(aligner(texts))  # cut or not, new or remembered
 
