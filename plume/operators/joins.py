@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SUFFIXES = ("_comment", "_video")
+
 
 def integrate_videos(comments: DataFrame, videos: DataFrame, key: str = "videoId") -> DataFrame:
     """Comments left-joined with per-video engagement.
@@ -19,3 +21,23 @@ def integrate_videos(comments: DataFrame, videos: DataFrame, key: str = "videoId
     in the shuffle form AQE splits the skewed partition.
     """
     return comments.join(videos, key, "left")
+
+
+def integrate_raw(comments: DataFrame, videos: DataFrame, key: str = "videoId",
+                  suffixes: tuple[str, str] = SUFFIXES) -> DataFrame:
+    """Raw comments left-joined with raw videos, which may share column names.
+
+    The key appears once; a column that both sides have (names compare without
+    case) gets its side's suffix on both, before the join.  A suffixed name that
+    is taken already, or a missing key, is an error."""
+    sides = [(comments, suffixes[0]), (videos, suffixes[1])]
+    names = [{c.lower() for c in df.columns} - {key.lower()} for df, _ in sides]
+    for (df, _), own in zip(sides, names):
+        if key.lower() not in {c.lower() for c in df.columns} or len(own) != len(df.columns) - 1:
+            raise ValueError(f"each side needs the column {key} and distinct names, not {df.columns}")
+    clash = names[0] & names[1]
+    renamed = [df.withColumnsRenamed({c: c + suffix for c in df.columns if c.lower() in clash}) for df, suffix in sides]
+    after = [c.lower() for df in renamed for c in df.columns if c.lower() != key.lower()]
+    if twice := sorted({c for c in after if after.count(c) > 1}):
+        raise ValueError(f"columns {twice} would appear twice; choose other suffixes")
+    return renamed[0].join(renamed[1], key, "left")

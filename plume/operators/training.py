@@ -8,6 +8,8 @@ histogram method of ``sampling`` (no class is ever gathered in one task).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,26 +146,34 @@ def learn_vocabulary(df: DataFrame, text: str = "text", size: int = 2000) -> Dat
                                + FIRST_WORD_ID - 1).cast("int").alias("id"))
 
 
+def _lookup(vocab: DataFrame):
+    """Term -> id (null for others) as a literal table of ``term`` and ``id``."""
+    rows = vocab.select("term", "id", F.hash("term").alias("h")).collect()  # as many as the vocabulary was asked for
+    slots = 1 << max(1, len(rows)).bit_length()
+    table: list[dict[str, int]] = [{} for _ in range(slots)]
+    for r in rows:
+        table[r.h % slots][r.term] = r.id
+    literal = F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")  # folded to a constant by the planner
+    return lambda t: F.element_at(F.get(literal, F.pmod(F.hash(t), F.lit(slots))), t)
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "row_id",
                   carry: tuple[str, ...] = (), max_length: int = MAX_TOKENS) -> DataFrame:
     """Fixed-length encoding: [CLS] + ids of the first max_length-2 tokens +
     [SEP], padded with [PAD]; unknown terms -> [UNK].  Adds ``input_ids`` and
     ``attention_mask`` (arrays of ``max_length`` ints).
 
-    Tokens are exploded with their position, looked up in the vocabulary
-    (broadcast: its size is the ``size`` parameter) and regathered per row;
-    a row's group holds at most max_length-2 entries.  Narrow ``carry``
-    columns ride along, so the wide text is never joined back.
+    The vocabulary (its size is a parameter of ``learn_vocabulary``) becomes a
+    literal hash table, an array of small maps, that every token looks itself
+    up in: one projection, no explode and no exchange.
     """
     body = max_length - 2
-    toks = df.select(key, *carry, F.posexplode_outer(F.slice(tokens(F.col(text)), 1, body)).alias("pos", "term"))
-    looked = toks.join(F.broadcast(vocab), "term", "left").select(
-        key, *carry, "pos", F.when(F.col("term").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID))).alias("id"))
-    gathered = looked.groupBy(key, *carry).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("_p"))
-    ids = F.transform(F.col("_p"), lambda s: s["id"])
+    find = _lookup(vocab)
+    found = df.select(key, *carry, F.transform(
+        F.slice(tokens(F.col(text)), 1, body), lambda t: F.coalesce(find(t), F.lit(UNK_ID))).alias("_ids"))
+    ids = F.coalesce("_ids", F.array().cast("array<int>"))
     n = F.size(ids)
     input_ids = F.concat(F.array(F.lit(CLS_ID)), ids, F.array(F.lit(SEP_ID)),
                          F.array_repeat(F.lit(PAD_ID), F.lit(body) - n))
     mask = F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), F.lit(body) - n))
-    return gathered.select(key, *carry, input_ids.alias("input_ids"), mask.alias("attention_mask"))
+    return found.select(key, *carry, input_ids.alias("input_ids"), mask.alias("attention_mask"))

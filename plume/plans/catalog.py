@@ -23,7 +23,7 @@ from ..operators import metrics as M
 from ..operators import soe as S
 from ..operators import topk as K
 from ..operators import training as T
-from ..operators.joins import integrate_videos
+from ..operators.joins import integrate_raw, integrate_videos
 from ..sources import fixtures as FX
 from ..sources.tables import read_table
 from . import oracle as O
@@ -87,11 +87,41 @@ def q_integrate_videos(spark, sf):
         "row_id", "videoId", "likeCount_video", "favouriteCount", "commentCount")
 
 
+def q_integrate_raw(spark, sf):
+    """Raw comments and raw videos, which both call their likes ``likeCount``."""
+    c = FX.comments(spark, sf).withColumnRenamed("likeCount_comment", "likeCount")
+    return integrate_raw(c, FX.videos(spark, sf).withColumnRenamed("likeCount_video", "likeCount")).drop("textOriginal")
+
+
 def q_scan_csv_dir(spark, sf):
     from ..sources.csv_dir import roundtrip_enriched_csv
     return roundtrip_enriched_csv(spark, _e(spark, sf))
 
 
+def q_scan_csv_large(spark, sf):
+    """The files of ``scan_csv_dir``, each read by as many tasks as it has byte ranges."""
+    from ..sources.csv_dir import roundtrip_enriched_csv
+    from ..sources.csv_records import scan_csv_large
+    return roundtrip_enriched_csv(spark, _e(spark, sf), scan_csv_large)
+
+
+def q_scan_csv_rejects(spark, sf):
+    """An export that forgets the quotes of cells with nothing but commas in
+    them: the rows that can be read, and the rejected records with their cells."""
+    from ..session import scratch_path
+    from ..sources.csv_records import scan_csv_rejects, write_raw_records
+    text, path = F.col("textOriginal"), scratch_path(spark, "careless")
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    record = F.concat_ws(",", "row_id", F.when(text.rlike('["\\r\\n]'), quoted).otherwise(text))
+    write_raw_records(_texts(spark, sf).select(record.alias("record")), "row_id,textOriginal", path)
+    rows, rejects = scan_csv_rejects(spark, path, pattern="*.txt")
+    none = F.lit(None)
+    return rows.select(F.col("row_id").cast("long").alias("row_id"), "textOriginal",
+                       none.cast("int").alias("n_cells"), none.cast("string").alias("reason")).unionByName(
+        rejects.select(F.regexp_extract("record", "^([0-9]+),", 1).cast("long").alias("row_id"),
+                       none.cast("string").alias("textOriginal"), "n_cells", "reason"))
+
+
 def q_export_filtered(spark, sf):
     from ..sources.sinks import export_filtered
     return export_filtered(spark, _e(spark, sf), _explorer_mask())
@@ -113,6 +143,15 @@ def q_parquet_file_bound(spark, sf):
     return files.agg((F.max("rows") <= 100).alias("within_bound"), F.sum("rows").alias("rows"))
 
 
+def q_parquet_exact_chunks(spark, sf):
+    """Files of exactly 100 rows: how many files have how many rows."""
+    from ..session import scratch_path
+    from ..sources.sinks import file_row_counts, write_parquet_exact
+    out = scratch_path(spark, "exact")
+    write_parquet_exact(_e(spark, sf).select("row_id", "Predicted_Category"), out, rows_per_file=100)
+    return file_row_counts(spark, out).groupBy("rows").agg(F.count(F.lit(1)).alias("files"))
+
+
 def q_union_by_name(spark, sf):
     e = _e(spark, sf)
     prod = e.filter(F.col("isProductRelated") == PRODUCT_RELATED)
@@ -153,6 +192,18 @@ def q_normalize_text(spark, sf):
     return _texts(spark, sf).select("row_id", normalize_text("textOriginal").alias("cleaned_text"))
 
 
+def q_keyword_hits_large(spark, sf):
+    """The comments against every phrase of one to six words of the benchmark."""
+    from ..operators.lexicon import lexicon_hits, lexicon_terms
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))
+    phrases = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    lexicon = (read_table(spark, sf, "benchmark", ["text"]).select(words.alias("w")).filter(F.size("w") > 0)
+               .select(F.explode(phrases).alias("term")))
+    found = lexicon_hits(_texts(spark, sf), lexicon_terms(lexicon))
+    return found.select("row_id", F.size("hits").cast("long").alias("n_hits"), F.md5(F.array_join("hits", ",")).alias("hits_md5"))
+
+
 def q_keyword_hits(spark, sf):
     return L.keyword_hits(FX.comments(spark, sf).na.drop(subset=["textOriginal"]))
 

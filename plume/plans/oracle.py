@@ -216,6 +216,31 @@ FROM comments c LEFT JOIN videos v ON c.videoId = v.videoId"""),
         "scan_csv_dir": q("""
 SELECT row_id, textOriginal, isProductRelated, Predicted_Category, predicted_sentiment,
   likeCount_comment, likeCount_video, favouriteCount, commentCount, comment_share_of_engagement FROM e"""),
+        "scan_csv_large": q("""
+SELECT row_id, textOriginal, isProductRelated, Predicted_Category, predicted_sentiment,
+  likeCount_comment, likeCount_video, favouriteCount, commentCount, comment_share_of_engagement FROM e"""),
+        "scan_csv_rejects": q("""
+, r AS (SELECT row_id, textOriginal, CAST(2 + length(textOriginal) - length(replace(textOriginal, ',', '')) AS INTEGER) AS n,
+          NOT contains(textOriginal, '"') AND NOT contains(textOriginal, chr(10)) AND NOT contains(textOriginal, chr(13))
+          AND contains(textOriginal, ',') AS careless
+        FROM comments WHERE textOriginal IS NOT NULL)
+SELECT row_id, CASE WHEN NOT careless THEN textOriginal END AS textOriginal, CASE WHEN careless THEN n END AS n_cells,
+  CASE WHEN careless THEN 'more cells than the header' END AS reason FROM r"""),
+        "integrate_raw": q("""
+SELECT c.videoId, c.row_id, c.likeCount_comment, v.likeCount_video, v.favouriteCount, v.commentCount
+FROM comments c LEFT JOIN videos v ON c.videoId = v.videoId"""),
+        "parquet_exact_chunks": q("""
+, n AS (SELECT count(*) AS n FROM e)
+SELECT CAST(100 AS BIGINT) AS rows, n // 100 AS files FROM n WHERE n >= 100
+UNION ALL SELECT n % 100, CAST(1 AS BIGINT) FROM n WHERE n % 100 > 0"""),
+        "keyword_hits_large": q("""
+, w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark WHERE text IS NOT NULL),
+phrases AS (SELECT DISTINCT array_to_string(list_slice(w, i, i + n - 1), ' ') AS term
+            FROM w, range(1, 7) AS s(n), range(1, greatest(len(w) - n + 1, 1) + 1) AS r(i) WHERE len(w) > 0),
+hits AS (SELECT row_id, count(*) AS n, md5(string_agg(term, ',' ORDER BY term)) AS m
+         FROM comments JOIN phrases ON contains(lower(textOriginal), term) GROUP BY row_id)
+SELECT c.row_id, coalesce(h.n, 0)::BIGINT AS n_hits, coalesce(h.m, md5('')) AS hits_md5
+FROM comments c LEFT JOIN hits h ON c.row_id = h.row_id WHERE c.textOriginal IS NOT NULL"""),
         "export_filtered": q(f"""
 SELECT row_id, textOriginal, isProductRelated, Predicted_Category, predicted_sentiment, likeCount_comment
 FROM e WHERE {EXPLORER_MASK_SQL}"""),

@@ -12,12 +12,13 @@ columns.  Here:
 3. files are grouped by header; each group is read with an all-string
    schema in its header order, then the groups are stacked with
    ``unionByName(allowMissingColumns=True)``;
-4. a cell beyond the header's columns raises, shorter records are filled with
-   nulls, and pandas' missing-value tokens become null.
+4. a record with more cells than its header raises, shorter records are
+   filled with nulls, and pandas' missing-value tokens become null.
 
 Quoted cells may hold newlines, so files are read with ``multiLine`` (one
-task per file); pass ``multi_line=False`` for large files without such cells,
-which are then split.
+task per file); pass ``multi_line=False`` for files without such cells, which
+are then split.  ``csv_records`` splits files with such cells, too, and can
+give rejected records as a table.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ from ..operators.cleaning import na_tokens_to_null
 READ_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
 WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: One cell: quoted (what follows the closing quote up to the comma belongs to
+#: it), unquoted, or empty; and a record's cells.  All quantifiers are
+#: possessive, which keeps matching linear and free of recursion.
+CELL = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|)'
+CELLS = rf"(?:\A|,){CELL}"
 #: Tie-break of rows in reading order, if asked for.
 POSITION = ["file_name", "file_offset", "file_row"]
 
@@ -89,14 +95,21 @@ def scan_csv_dir(spark: SparkSession, directory: str, schema: T.StructType | str
     frames = []
     for g in sorted(groups, key=lambda r: r["line"]):
         names = _columns(g["line"])
-        extra = "_beyond_header"
+        extra = "_other_width"
+        while extra in names:
+            extra += "_"
+        # Spark puts a record of another width than the schema's here as it stands
         fields = [T.StructField(n, T.StringType(), True) for n in [*names, extra]]
-        read = spark.read.options(**READ_OPTIONS).option("multiLine", multi_line).schema(T.StructType(fields)).csv(g["paths"])
+        read = (spark.read.options(**READ_OPTIONS).option("multiLine", multi_line).option("columnPruning", "false")
+                .option("columnNameOfCorruptRecord", extra)
+                .schema(T.StructType(fields)).csv(g["paths"]))
         where = [F.col("_metadata.file_name").alias(POSITION[0]), F.col("_metadata.file_block_start").alias(POSITION[1]),
                  F.monotonically_increasing_id().alias(POSITION[2])]
         rows = read.select("*", *where) if position else read
+        n_cells = F.regexp_count(F.regexp_replace(extra, r"[\r\n]+\z", ""), F.lit(CELLS))
         too_long = F.raise_error(F.concat(F.lit("a record has more cells than its header: "), F.col(extra))).cast("boolean")
-        frames.append(rows.filter(F.when(F.col(extra).isNotNull(), too_long).otherwise(F.lit(True))).drop(extra))
+        fits = F.when(F.col(extra).isNotNull() & (n_cells > len(names)), too_long).otherwise(F.lit(True))
+        frames.append(rows.filter(fits).drop(extra))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -108,7 +121,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
 
 
-def roundtrip_enriched_csv(spark: SparkSession, enriched: DataFrame) -> DataFrame:
+def roundtrip_enriched_csv(spark: SparkSession, enriched: DataFrame, read=scan_csv_dir) -> DataFrame:
     """Write the enriched table as two header groups (different column order,
     one extra column), read the directory back by name and clean it again."""
     from ..operators.cleaning import clean
@@ -123,7 +136,7 @@ def roundtrip_enriched_csv(spark: SparkSession, enriched: DataFrame) -> DataFram
     e = enriched.select(*[F.col(c).cast("string").alias(c) for c in cols_a])
     write_csv(e.filter(prod).select(*cols_a), out)
     write_csv(e.filter(~prod).select(*cols_b, F.lit("extra").alias("source_note")), out)
-    back = scan_csv_dir(spark, out)
+    back = read(spark, out)
     cleaned = clean(back.withColumn("row_id", F.col("row_id").cast("long")))
     return cleaned.select("row_id", "textOriginal", "isProductRelated", "Predicted_Category",
                           "predicted_sentiment", "likeCount_comment", "likeCount_video", "favouriteCount",
