@@ -438,6 +438,11 @@ def q_stream_enrich(spark, sf):
     return run_enrich_stream(spark, sf)
 
 
+def q_dashboard_cached(spark, sf):
+    from .dashboard import cached_volume
+    return cached_volume(spark, sf)
+
+
 def q_stream_trend(spark, sf):
     from ..streaming.trend import run_trend_stream
     return run_trend_stream(spark, sf)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio_positive
+from ..functions.fixed_values import NOT_APPLICABLE
+from ..functions.numeric import coerce_number, ratio_positive
 from ..operators import aggregates as A
-from ..operators.cleaning import SOE_COLUMN
+from ..operators.cleaning import SOE_COLUMN, drop_missing_text, fill_labels
 from ..sources import fixtures as FX
+from ..sources.versions import SOURCE, VersionedTable
 
 
 def category_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,3 +52,28 @@ def materialize_enriched(spark: SparkSession, sf_dir: str, path: str | None = No
     out = path or scratch_path(spark, "enriched")
     write_parquet_chunks(FX.enriched(spark, sf_dir), out, rows_per_file)
     return out
+
+
+def labelled_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The labelled comments as a versioned table: ``refresh`` labels the texts
+    of new and changed files only, tiles read the columns they need."""
+    def make(locations: list[str]) -> DataFrame:
+        docs = spark.read.parquet(*locations).select("doc_id", "text", "source", "n_chars", F.col("_metadata.file_path").alias(SOURCE))
+        c = drop_missing_text(FX.comments_from(docs, SOURCE))
+        return fill_labels(FX.labelled(c)).select(
+            "row_id", "videoId", "isProductRelated", "Predicted_Category",
+            coerce_number(F.col("likeCount_comment")).alias("likeCount_comment"), SOURCE)
+
+    return VersionedTable(spark, path, make)
+
+
+def cached_volume(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Comments and likes per category of product-related comments, read from
+    the versioned table below ``path`` after bringing it up to date."""
+    from ..session import scratch_path
+
+    table = labelled_table(spark, path or scratch_path(spark, "dashboard"))
+    table.refresh(f"{sf_dir.rstrip('/')}/documents.parquet", "*.parquet")
+    related = A.product_comments(table.read())
+    return (related.filter(F.col("Predicted_Category") != NOT_APPLICABLE).groupBy("Predicted_Category")
+            .agg(F.count(F.lit(1)).alias("comments"), F.sum("likeCount_comment").cast("long").alias("likes")))

@@ -241,6 +241,9 @@ hits AS (SELECT row_id, count(*) AS n, md5(string_agg(term, ',' ORDER BY term))
          FROM comments JOIN phrases ON contains(lower(textOriginal), term) GROUP BY row_id)
 SELECT c.row_id, coalesce(h.n, 0)::BIGINT AS n_hits, coalesce(h.m, md5('')) AS hits_md5
 FROM comments c LEFT JOIN hits h ON c.row_id = h.row_id WHERE c.textOriginal IS NOT NULL"""),
+        "dashboard_cached": q("""
+SELECT Predicted_Category, count(*) AS comments, CAST(sum(likeCount_comment) AS BIGINT) AS likes
+FROM p WHERE Predicted_Category <> '[Not Applicable]' GROUP BY Predicted_Category"""),
         "export_filtered": q(f"""
 SELECT row_id, textOriginal, isProductRelated, Predicted_Category, predicted_sentiment, likeCount_comment
 FROM e WHERE {EXPLORER_MASK_SQL}"""),

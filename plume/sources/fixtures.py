@@ -40,8 +40,9 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo("comments", spark, sf_dir, build)
 
 
-def comments_from(d: DataFrame) -> DataFrame:
-    """The comment derivation over a documents frame (batch or stream)."""
+def comments_from(d: DataFrame, *carry: str) -> DataFrame:
+    """The comment derivation over a documents frame (batch or stream);
+    ``carry`` names columns that ride along."""
     keywords = sql_array([r[3] for r in lexicon_rows()])
     kw = F.expr(f"element_at({keywords}, CAST(pmod(doc_id, {len(lexicon_rows())}) + 1 AS INT))")
     brand = F.expr(f"element_at({sql_array(BRANDS)}, CAST(pmod(doc_id, {len(BRANDS)}) + 1 AS INT))")
@@ -56,6 +57,7 @@ def comments_from(d: DataFrame) -> DataFrame:
         text.alias("textOriginal"),
         F.when(F.col("doc_id") % BAD_LIKES_EVERY == 0, F.lit("bad"))
         .otherwise((F.col("n_chars") % 50).cast("string")).alias("likeCount_comment"),
+        *carry,
     )
 
 
@@ -125,19 +127,24 @@ def raw_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo("raw_enriched", spark, sf_dir, lambda: _raw_enriched(spark, sf_dir))
 
 
-def _raw_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.joins import integrate_videos
+def labelled(c: DataFrame) -> DataFrame:
+    """Comments with their category (null if none) and relevance."""
     from ..operators.labelling import weak_labels
 
-    c = comments(spark, sf_dir)
     c = weak_labels(c, "textOriginal", "_label")
     c = c.withColumn("Predicted_Category",
                      F.when(F.col("_label") != UNLABELED, F.col("_label"))).drop("_label")
-    c = c.withColumn(
+    return c.withColumn(
         "isProductRelated",
         F.when(F.col("row_id") % NULL_RELEVANCE_MOD == NULL_RELEVANCE_AT, F.lit(None).cast("string"))
         .when(F.col("Predicted_Category").isNull(), F.lit(NOT_PRODUCT_RELATED))
         .otherwise(F.lit(PRODUCT_RELATED)))
+
+
+def _raw_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.joins import integrate_videos
+
+    c = labelled(comments(spark, sf_dir))
     joined = integrate_videos(c, videos(spark, sf_dir))
     sent = sentiment_from_labels(read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]))
     return joined.join(sent, "row_id", "left")

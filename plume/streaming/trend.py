@@ -2,10 +2,9 @@
 
 State is bounded by the watermark: a window's state is dropped once the
 watermark passes its end, and rows later than the watermark are ignored.
-The query runs in *update* mode through ``foreachBatch``; every micro-batch
-writes its changed windows to its own ``batch_id=N`` folder with overwrite,
-so a re-run of the same batch after a failure replaces, never duplicates.
-The current value of a window is the one from its latest batch.
+The query runs in *update* mode through ``foreachBatch``; ``windows.WindowTable``
+takes up the changed windows of every micro-batch, replay-safe and with a
+bounded number of files.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .windows import WindowTable
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -44,6 +44,8 @@ def trend_counts(events: DataFrame, window: str = "1 day", watermark: str = "1 h
 
 
 def latest_windows(spark: SparkSession, out: str, key: str = "event_type") -> DataFrame:
+    """Counts where every batch wrote its changed windows to a folder
+    ``batch_id=N`` of its own."""
     return (spark.read.parquet(out)
             .groupBy("window_start", "window_end", key)
             .agg(F.max_by("count", "batch_id").alias("count")))
@@ -58,11 +60,12 @@ def run_trend_stream(spark: SparkSession, landing_dir: str, out: str | None = No
     def utc_wall_clock(col: str):
         return F.convert_timezone(F.lit(session_tz), F.lit("UTC"), F.col(col).cast("timestamp_ntz"))
 
+    table = WindowTable(spark, out, "event_type", watermark)
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(utc_wall_clock("window.start").alias("window_start"),
-                      utc_wall_clock("window.end").alias("window_end"),
-                      "event_type", "count")
-         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+        table.add(batch.select(utc_wall_clock("window.start").alias("window_start"),
+                               utc_wall_clock("window.end").alias("window_end"),
+                               "event_type", "count"), batch_id)
 
     q = (trend_counts(event_stream(spark, landing_dir), window, watermark).writeStream
          .outputMode("update")
@@ -71,4 +74,7 @@ def run_trend_stream(spark: SparkSession, landing_dir: str, out: str | None = No
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
-    return latest_windows(spark, out)
+    counts = table.read()
+    if counts is None:  # nothing has landed yet
+        return spark.createDataFrame([], "window_start timestamp_ntz, window_end timestamp_ntz, event_type string, count long")
+    return counts
