@@ -3,10 +3,11 @@ context words nearby adjust the score.
 
 Kinds, in this order: email, ip (parts at most 255), card (13 to 19 digits,
 Luhn), phone (9 to 15 digits) are always kept if valid.  Two more depend on
-more evidence: iban (mod-97), and secret, a run of hexadecimal digits that
-only a context word (password, token, ...) in the 24 characters before it
-lifts above the threshold; it may not reach back over another match.  Spans of
-one kind never overlap; those of different kinds may.
+more evidence: iban (its country's length, compact or in groups of four, and
+mod-97), and secret, a run of hexadecimal digits that only a context word
+(password, token, ...) in the 24 characters before or behind it lifts above the
+threshold; context does not reach over another match of the kind.  Spans of one
+kind never overlap; those of different kinds may.
 
 Scale: DataFrame operations only, one narrow pass, no shuffle.  A pattern runs
 only on texts that hold a character it needs.  Patterns are written so that
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
-#: Characters before a span in which context words count.
+#: Characters before and behind a span in which context words count.
 NEAR = 24
 THRESHOLD = 0.5
 
@@ -47,6 +48,24 @@ class Kind:
     lift: float
 
 
+# fixed values: the lengths of account numbers, by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """Compact or in groups of four, as long as the country says."""
+    forms = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        printed = rf"(?:\x20[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20[A-Z0-9]{{{rest}}}" if rest else "")
+        forms.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{length - 4}}}|{printed})")
+    return rf"(?<![A-Z0-9])(?:{'|'.join(forms)})"
+
+
 # fixed values: the first four patterns match what the plain forms in the tests match
 KINDS = [
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@",
@@ -54,7 +73,7 @@ KINDS = [
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "[0-9]\\.[0-9]", 0.6, ("ip", "host", "server", "address"), 0.2),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "[0-9][\\x20-]?[0-9]", 0.8, ("card", "visa", "payment"), 0.2),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", 0.7, ("phone", "tel", "call", "mobile"), 0.2),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "[A-Z]{2}[0-9]{2}", 0.8, ("iban", "account", "bank"), 0.2),
+    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}", 0.8, ("iban", "account", "bank"), 0.2),
     Kind("secret", r"[0-9a-f]{16,}+", "[0-9a-f]{16}", 0.3, ("password", "token", "secret", "key"), 0.6),
 ]
 BASE = [k.name for k in KINDS[:4]]
@@ -81,7 +100,7 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
     if kind == "iban":
-        return _mod97(value) == 1
+        return _mod97(F.replace(value, F.lit(" "), F.lit(""))) == 1
     return F.lit(True)
 
 
@@ -108,8 +127,9 @@ def _before(values: Column, combine) -> Column:
 
 def _spans(text: Column, kind: Kind) -> Column:
     """Valid spans of one kind with their scores, in order."""
-    pieces = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"),
-                          F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("value"))
+    pieces = _let(F.split(text, kind.pattern, -1), lambda gaps: F.arrays_zip(
+        gaps.alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("value"),
+        F.slice(gaps, 2, F.size(gaps)).alias("behind")))
     found = F.filter(pieces, lambda p: p["value"].isNotNull())
     empty = F.array().cast("array<struct<start:int,end:int,value:string,near:string>>")
 
@@ -120,7 +140,7 @@ def _spans(text: Column, kind: Kind) -> Column:
         start = acc["at"] + F.length(p["gap"])
         end = start + F.length(p["value"])
         span = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"),
-                        F.lower(F.right(p["gap"], F.lit(NEAR))).alias("near"))
+                        F.lower(F.concat(F.right(p["gap"], F.lit(NEAR)), F.lit("\n"), F.left(p["behind"], F.lit(NEAR)))).alias("near"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     def placed(block: Column, at: Column) -> Column:
