@@ -28,6 +28,7 @@ give repeated results; columns of other names are left alone.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Callable, Iterator
@@ -113,20 +114,23 @@ class Vocabulary:
         if len(symbols) > SHORT:
             return self._merged_long(symbols)
         # a short agenda is a list beside the symbols: the place of each pair
-        place, made, size = self.place, self.made, self.size
-        agenda = [place.get(a * size + b, NEVER) for a, b in pairwise(symbols)]
+        place, made, size = self.place.get, self.made, self.size
+        pairs = [a * size + b for a, b in pairwise(symbols)]
+        agenda = [place(p, NEVER) for p in pairs]
         while agenda:
             best = min(agenda)
             if best == NEVER:
                 break
             i = agenda.index(best)  # the leftmost of equals
-            new = made[symbols[i] * size + symbols.pop(i + 1)]
-            symbols[i] = new
-            del agenda[i]
+            new = made[pairs[i]]
+            symbols[i:i + 2] = [new]
+            del agenda[i], pairs[i]
             if i < len(agenda):
-                agenda[i] = place.get(new * size + symbols[i + 1], NEVER)
+                pairs[i] = p = new * size + symbols[i + 1]
+                agenda[i] = place(p, NEVER)
             if i:
-                agenda[i - 1] = place.get(symbols[i - 1] * size + new, NEVER)
+                pairs[i - 1] = p = symbols[i - 1] * size + new
+                agenda[i - 1] = place(p, NEVER)
         return symbols
 
     def _merged_long(self, symbols: list[int]) -> list[int]:
@@ -234,6 +238,7 @@ def _worker(path: str, vocabulary: Vocabulary, model: bytes) -> tuple:
         import sentencepiece
 
         _workers[path] = Encoder(vocabulary), sentencepiece.SentencePieceProcessor(model_proto=model)
+        gc.freeze()  # the tables stay: the collector need not walk them again
     return _workers[path]
 
 
