@@ -10,6 +10,11 @@ queries; seeds are fixed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -50,47 +55,81 @@ def predictions(model, test: DataFrame) -> DataFrame:
                     F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
-def relevance_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced stage-1 data (text, label 0/1) with the exact split."""
-    src = T.training_source(FX.enriched(spark, sf_dir))
-    balanced = T.balance_classes(src)
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every comment once: row_id, cleaned_text, isProductRelated (int, may be
+    null), predicted_sentiment and the weak category of the cleaned text.
+    Written to the shared checkpoint folder: the training sets of all stages
+    and their splits read it, and no comment is labelled twice."""
+    from ..functions.fixed_values import NOT_PRODUCT_RELATED, PRODUCT_RELATED
+    from ..functions.text import normalize_text
+    from .labelling import weak_labels
+
+    related = F.when(F.col("isProductRelated") == PRODUCT_RELATED, 1).when(F.col("isProductRelated") == NOT_PRODUCT_RELATED, 0)
+    rows = FX.enriched(spark, sf_dir).select("row_id", normalize_text("textOriginal").alias("cleaned_text"),
+                                             related.alias("isProductRelated"), "predicted_sentiment")
+    return weak_labels(rows, "cleaned_text", "category").checkpoint(eager=True)
+
+
+def relevance_data(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Balanced stage-1 data (text, label 0/1) with the exact split.  ``rows``:
+    the prepared comments, if they are there already."""
+    rows = (rows or prepared(spark, sf_dir)).filter("isProductRelated IS NOT NULL")
+    balanced = T.balance_classes(rows.select("row_id", "cleaned_text", "isProductRelated"))
     return T.stratified_split(T.train_columns(balanced).checkpoint(eager=True), "label")
 
 
-def category_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+def category_data(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Stage-2 weak-labelled data (text, label id) with the exact split."""
-    # written once: the label ids, the join and the split's passes read the
-    # labelled set instead of recomputing the labelling
-    lab = T.stage2_labelled(T.training_source(FX.enriched(spark, sf_dir))).checkpoint(eager=True)
-    ids = T.label_ids(lab)
-    enc = T.label_encode(lab, ids).select("row_id", F.col("cleaned_text").alias("text"), "category", "label")
+    lab = (rows or prepared(spark, sf_dir)).filter("isProductRelated = 1").select("row_id", "cleaned_text", "category")
+    enc = T.label_encode(lab, T.label_ids(lab)).select("row_id", F.col("cleaned_text").alias("text"), "category", "label")
     return T.stratified_split(enc, "label")
 
 
+def _side_by_side(*jobs: Callable):
+    """The results of independent Spark jobs, run at the same time."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        inherit = inheritable_thread_target(SparkSession.active())
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
+
+
+def validation_split(train: DataFrame) -> DataFrame:
+    """The training rows with an exact validation part (split 'test')."""
+    return _prepare(T.stratified_split(train.select("row_id", "text", "label"), "label", seed=VALIDATION_SEED))
+
+
+def tuning_features(rows: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    """The feature stages fitted on the fit part alone, and the features of all
+    rows: no validation row has a say in any fitted stage."""
+    stages = Pipeline(stages=text_pipeline().getStages()[:-1]).fit(rows.filter("split = 'train'"))
+    return stages, stages.transform(rows).select("features", "label_d", "split")
+
+
 def fit_best(train: DataFrame) -> tuple[PipelineModel, list[tuple[float, float]]]:
     """The text pipeline with the best of the candidate regularisations, and
     (reg_param, f1) of each.
 
-    The feature stages are fitted once and their output is persisted while the
-    logistic regression is tuned by weighted F1 on an exact validation part of
-    the training rows; the winner is fitted again on all of them."""
-    train = _prepare(T.stratified_split(train.select("row_id", "text", "label"), "label", seed=VALIDATION_SEED))
-    stages = text_pipeline().getStages()
-    features = Pipeline(stages=stages[:-1]).fit(train)
-    ready = features.transform(train).select("features", "label_d", "split").persist()
+    The training rows are split once.  The candidates are fitted side by side
+    on one materialised set of features, which the fit part alone determines,
+    and judged by weighted F1 on the validation part; the winner is fitted
+    again, features included, on all training rows."""
+    rows = validation_split(train).checkpoint(eager=True)
+    ready = tuning_features(rows)[1].persist()
     fit_rows, check_rows = ready.filter("split = 'train'"), ready.filter("split = 'test'")
-    judge = MulticlassClassificationEvaluator(labelCol="label_d", metricName="f1")
-    tried = []
-    for reg in REG_GRID:
-        model = stages[-1].copy({stages[-1].regParam: reg}).fit(fit_rows)
-        tried.append((reg, float(judge.evaluate(model.transform(check_rows)))))
+    ready.count()
+
+    def candidate(reg: float) -> tuple[float, float]:
+        judge = MulticlassClassificationEvaluator(labelCol="label_d", metricName="f1")
+        classifier = text_pipeline(reg).getStages()[-1]
+        return reg, float(judge.evaluate(classifier.fit(fit_rows).transform(check_rows)))
+
+    tried = _side_by_side(*(partial(candidate, reg) for reg in REG_GRID))
     best = max(tried, key=lambda r: (r[1], r[0]))[0]
-    final = stages[-1].copy({stages[-1].regParam: best}).fit(ready)
     ready.unpersist()
-    return PipelineModel(stages=[*features.stages, final]), tried
+    return text_pipeline(best).fit(rows), tried
 
 
 def _fit_and_predict(data: DataFrame) -> DataFrame:
+    data = data.checkpoint(eager=True)  # the split is made once for its two sides
     model, _ = fit_best(data.filter(F.col("split") == "train"))
     return predictions(model, data.filter(F.col("split") == "test"))
 
@@ -130,17 +169,14 @@ def score(model: PipelineModel, df: DataFrame, prefix: str) -> DataFrame:
                     F.array_max(vector_to_array("probability")).alias(f"{prefix}_score"))
 
 
-def sentiment_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sentiment_data(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Comments with a known sentiment (text, label = index in SENTIMENTS)."""
     from ..functions.fixed_values import SENTIMENTS
-    from ..functions.text import normalize_text
 
-    e = FX.enriched(spark, sf_dir)
     idx = F.create_map(*[x for i, s in enumerate(SENTIMENTS) for x in (F.lit(s), F.lit(i))])
-    d = (e.filter(F.col("predicted_sentiment").isin(SENTIMENTS))
-         .select("row_id", normalize_text("textOriginal").alias("text"),
-                 idx[F.col("predicted_sentiment")].alias("label")))
-    return T.stratified_split(d.checkpoint(eager=True), "label")
+    known = (rows or prepared(spark, sf_dir)).filter(F.col("predicted_sentiment").isin(SENTIMENTS))
+    return T.stratified_split(known.select("row_id", F.col("cleaned_text").alias("text"),
+                                           idx[F.col("predicted_sentiment")].alias("label")), "label")
 
 
 def gated_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,22 +188,22 @@ def gated_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     added back by a union.  Each stage reports its confidence.
     """
     from ..functions.fixed_values import SENTIMENTS
-    from ..functions.text import normalize_text
 
-    def fit(data: DataFrame) -> PipelineModel:
-        return fit_best(data.filter(F.col("split") == "train"))[0]
+    rows = prepared(spark, sf_dir)
+    cat_data = category_data(spark, sf_dir, rows).checkpoint(eager=True)
+
+    def fit(data: Callable[[], DataFrame]) -> Callable[[], PipelineModel]:
+        return lambda: fit_best(data().filter(F.col("split") == "train"))[0]
 
-    rel_model = fit(relevance_data(spark, sf_dir))
-    cat_data = category_data(spark, sf_dir)
-    cat_model = fit(cat_data)
-    sent_model = fit(sentiment_data(spark, sf_dir))
+    rel_model, cat_model, sent_model = _side_by_side(
+        fit(lambda: relevance_data(spark, sf_dir, rows)), fit(lambda: cat_data), fit(lambda: sentiment_data(spark, sf_dir, rows)))
     # label names in order of their ids: a row per category
     names = [r.category for r in cat_data.select("label", "category").distinct().orderBy("label").collect()]
 
     def named(labels: list[str], column: str) -> Column:
         return F.element_at(F.array(*map(F.lit, labels)), F.col(column) + 1)
 
-    texts = FX.enriched_base(spark, sf_dir).select("row_id", normalize_text("textOriginal").alias("text"))
+    texts = rows.select("row_id", F.col("cleaned_text").alias("text"))
     first = score(rel_model, texts, "relevance").checkpoint(eager=True)
     related = score(sent_model, score(cat_model, first.filter("relevance_id = 1"), "category"), "sentiment")
     gated = related.select("row_id", F.lit("Yes").alias("is_related"), named(names, "category_id").alias("category"),

@@ -263,6 +263,15 @@ def q_explorer_search(spark, sf):
         "row_id", "Predicted_Category", "predicted_sentiment")
 
 
+def q_explorer_search_indexed(spark, sf):
+    """``explorer_search`` through an index of character triples."""
+    from ..operators.search_index import SearchIndex
+    from ..session import scratch_path
+    index = SearchIndex(spark, scratch_path(spark, "search"))
+    index.build(_e(spark, sf))
+    return index.search(O.SEARCH_TERM).select("row_id", "Predicted_Category", "predicted_sentiment")
+
+
 def q_spam_filter(spark, sf):
     return T.spam_flags(_texts(spark, sf))
 
@@ -385,7 +394,9 @@ def q_argmax_label(spark, sf):
 # --- training data -----------------------------------------------------------
 
 def q_balance_classes(spark, sf):
-    return T.balance_classes(_src(spark, sf)).select("row_id", "isProductRelated")
+    # the classes alone, written once: the passes of the selection label no text again
+    labels = _src(spark, sf).select("row_id", "isProductRelated").checkpoint(eager=True)
+    return T.balance_classes(labels).select("row_id", "isProductRelated")
 
 
 def q_stratified_split(spark, sf):

@@ -298,6 +298,11 @@ SELECT row_id, isProductRelated, Predicted_Category, predicted_sentiment, likeCo
 FROM e WHERE {EXPLORER_MASK_SQL}"""),
         "explorer_search": q(f"""
 SELECT row_id, Predicted_Category, predicted_sentiment FROM e
+WHERE contains(lower(textOriginal), {_q(SEARCH_TERM)}) OR contains(lower(videoId), {_q(SEARCH_TERM)})
+   OR contains(lower(isProductRelated), {_q(SEARCH_TERM)}) OR contains(lower(Predicted_Category), {_q(SEARCH_TERM)})
+   OR contains(lower(predicted_sentiment), {_q(SEARCH_TERM)})"""),
+        "explorer_search_indexed": q(f"""
+SELECT row_id, Predicted_Category, predicted_sentiment FROM e
 WHERE contains(lower(textOriginal), {_q(SEARCH_TERM)}) OR contains(lower(videoId), {_q(SEARCH_TERM)})
    OR contains(lower(isProductRelated), {_q(SEARCH_TERM)}) OR contains(lower(Predicted_Category), {_q(SEARCH_TERM)})
    OR contains(lower(predicted_sentiment), {_q(SEARCH_TERM)})"""),

@@ -33,3 +33,14 @@ def test_gate_keeps_every_row_and_shuffles_no_text(spark):
         assert r.is_related in ("Yes", "No") and 0 < r.relevance_score <= 1
         assert (r.category is None) == (r.sentiment is None) == (r.is_related == "No")
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_validation_rows_have_no_say_in_the_tuned_features(spark, category):
+    from pyspark.sql import functions as F
+
+    rows = ml.validation_split(category.filter("split = 'train'")).checkpoint(eager=True)
+    fitted, _ = ml.tuning_features(rows)
+    others = rows.withColumn("text", F.when(F.col("split") == "test", F.lit("entirely other words")).otherwise(F.col("text")))
+    again, _ = ml.tuning_features(others)
+    assert fitted.stages[-1].idf == again.stages[-1].idf
+    assert fitted.stages[-1].numDocs == rows.filter("split = 'train'").count() < rows.count()

@@ -1,5 +1,6 @@
 """Operators on literal tables: top-k ties, cleaning, aggregates, SOE."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from plume.operators import aggregates as A
@@ -82,3 +83,30 @@ def test_soe_scenarios_edge_cases(spark):
     assert out["s4"].projected_soe == 0.2 and out["s4"].relative_delta == 1.0
     assert out["s5"].current_soe == 0.0 and out["s5"].relative_delta is None
     assert out["s6"].valid is False and out["s6"].projected_soe is None
+
+
+def test_raw_tables_with_clashing_names(spark):
+    from plume.operators.joins import integrate_raw
+
+    c = spark.createDataFrame([(1, "v1", 5, "x"), (2, "v2", 6, "y"), (3, None, 7, "z")], "id long, videoId string, likeCount long, Title string")
+    v = spark.createDataFrame([("v1", 100, "t")], "videoId string, likeCount long, title string")
+    out = integrate_raw(c, v)
+    assert out.columns == ["videoId", "id", "likeCount_comment", "Title_comment", "likeCount_video", "title_video"]
+    assert sorted((r.id, r.likeCount_comment, r.likeCount_video) for r in out.collect()) == [(1, 5, 100), (2, 6, None), (3, 7, None)]
+    with pytest.raises(ValueError, match="twice"):
+        integrate_raw(c.withColumn("likeCount_video", c.id), v)
+    with pytest.raises(ValueError, match="needs the column"):
+        integrate_raw(c.drop("videoId"), v)
+
+
+def test_encoding_needs_no_exchange(spark):
+    from plume.operators import training as T
+
+    df = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "c " * 300)], "row_id long, text string")
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "term string, id int")
+    enc = T.encode_tokens(df, vocab, max_length=8)
+    rows = {r.row_id: (r.input_ids, sum(r.attention_mask)) for r in enc.collect()}
+    assert rows == {1: ([2, 5, 4, 5, 3, 0, 0, 0], 5), 2: ([2, 3, 0, 0, 0, 0, 0, 0], 2), 3: ([2, 3, 0, 0, 0, 0, 0, 0], 2),
+                    4: ([2, 1, 1, 1, 1, 1, 1, 3], 8)}
+    plan = enc._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan

@@ -80,3 +80,16 @@ def test_parquet_chunks_bound_rows_per_file(spark, scratch):
     write_parquet_chunks(spark.range(25000).repartition(1), scratch, rows_per_file=10000)
     sizes = sorted(r.rows for r in file_row_counts(spark, scratch).collect())
     assert sizes == [5000, 10000, 10000]
+
+
+def test_exact_chunks_hold_their_number_of_rows(spark, scratch):
+    from plume.sources.sinks import write_parquet_exact
+
+    for n, parts in ((25_000, 7), (3_000, 5), (1_000, 1), (999, 40), (0, 2)):
+        df = spark.range(n).selectExpr("id", "id AS chunk", "'x' AS `a.b`").repartition(parts)
+        out = f"{scratch}-{n}"
+        write_parquet_exact(df, out, rows_per_file=1000)
+        back = spark.read.parquet(out)
+        assert back.columns == df.columns and back.count() == n == back.select("id").distinct().count()
+        sizes = sorted((r.rows for r in file_row_counts(spark, out).collect()), reverse=True)
+        assert [s for s in sizes if s] == [1000] * (n // 1000) + ([n % 1000] if n % 1000 else [])
