@@ -16,7 +16,8 @@ any size.
 
 Defined cases: a null text has no words; an item without words has no window;
 repeated rows are judged alike, each for itself; an empty benchmark hits
-nothing; an item id of null is kept as a hit without an id.  Other input
+nothing; an item id may be of any type that sorts (numbers, text), and a
+null one is kept as a hit without an id.  Other input
 columns pass through; result columns take a free name (see ``contaminated``).
 """
 
@@ -156,7 +157,7 @@ def _suffixes(seq: np.ndarray) -> np.ndarray:
 class Block:
     """Distinct windows of some benchmark items, as word ids of the block."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], n: int) -> None:
+    def __init__(self, items: list[tuple[object, bytes]], n: int) -> None:
         w = C.Words([t.lower() for _, t in items], C.ALNUM_TABLE)
         self.words, ids = np.unique(w.hash, return_inverse=True)
         ids = ids.astype(np.int32) + 1
@@ -242,7 +243,7 @@ def _runs(words: np.ndarray) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, n: int, block_windows: int) -> Iterator[Block]:
-    items: list[tuple[int | None, bytes]] = []
+    items: list[tuple[object, bytes]] = []
     held = 0
     for row in benchmark.select("item_id", C.utf8().alias("text")).toLocalIterator():
         text = bytes(row.text)
@@ -274,7 +275,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10,
     names = {}
     text = C.fresh(docs, "utf8")
     out = docs.withColumn(text, C.utf8())
-    for key, kind in (("n_words", "long"), ("spans", "array<long>"), ("items", "array<long>")):
+    item = benchmark.schema["item_id"].dataType
+    for key, kind in (("n_words", T.LongType()), ("spans", T.ArrayType(T.LongType())), ("items", T.ArrayType(item))):
         names[key] = C.fresh(out, key)
         out = out.withColumn(names[key], F.lit(None).cast(kind))
     schema = out.schema
@@ -301,11 +303,11 @@ def _pass(docs: DataFrame, block, names: dict[str, str], text: str, schema: T.St
                     hit = np.union1d(hit, np.concatenate([np.arange(a, b) for a, b in old]))
                 spans.append(_runs(hit).ravel().tolist())
                 found = {own.items[k] for k in items[i]} | set(known[i] or ())
-                ids.append(sorted(found, key=lambda k: (k is None, k or 0)))
+                ids.append(sorted(found - {None}) + [None] * (None in found))
             columns = {f.name: batch.column(f.name) for f in batch.schema}
             columns[names["n_words"]] = pa.array(counts, pa.int64())
             columns[names["spans"]] = pa.array(spans, pa.list_(pa.int64()))
-            columns[names["items"]] = pa.array(ids, pa.list_(pa.int64()))
+            columns[names["items"]] = pa.array(ids, batch.schema.field(names["items"]).type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return docs.mapInArrow(run, schema)

@@ -15,8 +15,8 @@ Scale: 2 cells and about 24 probes per distinct fingerprint are shuffled, 20
 bytes each; no text is.  A cell is worked through by one task in sorted order:
 small cells by vector comparisons, larger ones by a search that drops points
 from the cell as they are reached, so a cell gives at most one link per point,
-never all pairs.  Cells with more than ``cell_limit`` own points are dealt out
-in pairs of blocks to many tasks.
+never all pairs.  Cells with more than ``cell_limit`` rows (own points and
+probes) are dealt out in pairs of blocks to many tasks.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any
 other; repeated rows keep one row each; a null doc_id gets the component of
@@ -103,7 +103,9 @@ def _segment(counts: Column, i: Column) -> Column:
 def _dealt(cells: DataFrame, cell_limit: int) -> DataFrame:
     """Adds ``block``: 0, or for rows of a crowded cell the pairs of blocks
     they belong to, so that any two rows of the cell meet in one of them."""
-    crowded = (cells.filter("own").groupBy("cell").count().filter(F.col("count") > cell_limit)
+    # own points and probes alike; a cell without an own point compares nothing
+    crowded = (cells.groupBy("cell").agg(F.count("*").alias("count"), F.max("own").alias("real"))
+               .filter(F.col("real") & (F.col("count") > cell_limit))
                .select("cell", F.ceil(F.col("count") / cell_limit).cast("int").alias("blocks")))
     crowded = C.checkpoint(crowded)
     if crowded.isEmpty():

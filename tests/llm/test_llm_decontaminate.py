@@ -92,3 +92,15 @@ def test_words_of_70000_bytes_that_differ_by_a_swap(spark):
     docs = spark.createDataFrame([(1, text(one)), (2, text(two))], "doc_id long, text string")
     items = spark.createDataFrame([(9, text(one))], "item_id long, text string")
     assert {r.doc_id: r.n_hit for r in D.digest(docs, items).collect()} == {1: 10, 2: 0}
+
+
+def test_items_may_have_names(spark):
+    words = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, words + " and more"), (2, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([("b/2", words), ("a/1", words), (None, words)], "item_id string, text string")
+    for block_windows in (1, 400_000):
+        found, names = D.contaminated(docs, items, block_windows=block_windows)
+        got = {r.doc_id: r[names["items"]] for r in found.collect()}
+        assert got == {1: ["a/1", "b/2", None], 2: []}
+    sha = hashlib.sha256(b"a/1,b/2").hexdigest()
+    assert {r.doc_id: (r.n_items, r.items_sha256) for r in D.digest(docs, items).collect()}[1] == (3, sha)
