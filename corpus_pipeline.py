@@ -2,7 +2,8 @@
 
 Stages, each a function (spark, docs, sf_dir) -> DataFrame over all that its
 predecessor kept, written as Parquet in the shared folder of
-``spark.checkpoint.dir`` and read again as the next one's input:
+``spark.checkpoint.dir`` and read again as the next one's input (which goes
+when the one after it is written):
 
 1. ``quality``: documents that the quality classifier rejects go.
 2. ``near_dedup``: of each group of SimHash near-duplicates one stays (3-word
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from plume.llm import decontaminate, mixing, pii, quality, simhash
 from plume.session import scratch_path
+from plume.sources.files import Folder
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -68,9 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # nothing reads the last stage's input any more
+            Folder(spark, before).delete()
+        before = path
     return docs
