@@ -2,9 +2,10 @@
 
 1. Labellers vote on every document: good, bad, or nothing.  They look at
    shape (shouting, symbols, doubled marks, lone marks, repetition, long runs,
-   variety) and at words (a list of insults, and two halves of a list of words
-   and word beginnings that labelled toxic documents have and labelled good
-   ones don't); their votes overlap.
+   variety) and at words: words and word beginnings are mined that labelled
+   toxic documents have and labelled good ones don't; one labeller looks for
+   two or more of them, two others for any of one half of them.  Their votes
+   overlap.
 2. Expectation-maximisation over the counts of vote patterns (of all documents)
    estimates each labeller's rates in each class (good, bad by shape, bad by
    words) and the classes' shares, and with them the probability that a document is good.
@@ -35,11 +36,8 @@ from plume.llm import common as C
 SHARD_BYTES = 1 << 20
 #: Hashed features of the scorer.
 WIDTH = 1 << 18
-#: Insults in English.
-INSULTS = ["clown", "disgusting", "dumb", "fool", "garbage", "idiot", "jerk", "loser", "moron", "pathetic", "scum",
-           "stupid", "trash", "ugly", "worthless"]
 BAD, GOOD, NONE = 0, 1, 2
-LABELLERS = ["shouting", "symbols", "marks", "lone", "repetition", "runs", "variety", "insults", "terms_a", "terms_b"]
+LABELLERS = ["shouting", "symbols", "marks", "lone", "repetition", "runs", "variety", "several", "terms_a", "terms_b"]
 SHAPE_LABELLERS = 7
 #: Bytes of a word's beginning that is mined beside the word.
 BEGINNING = 5
@@ -100,7 +98,8 @@ class Shapes:
         few = self.n < 20
         variety = np.where(few, NONE, np.where(self.variety < 0.25, BAD, np.where(self.variety > 0.4, GOOD, NONE)))
         marks = terms.marks(self.words.hash) | terms.marks(self.beginning)
-        said = [np.where(self._count(marks >> k & 1, self.words.first) > 0, BAD, NONE) for k in range(3)]
+        # two or more of the terms anywhere; any of either half of them
+        said = [np.where(self._count(marks >> k & 1, self.words.first) > (k == 0), BAD, NONE) for k in range(3)]
         votes = np.stack([above(self.upper, 0.15, 0.3), above(self.symbol, 0.02, 0.04), above(self.double, 0.02, 0.1),
                           above(self.lone, 0.02, 0.1), above(self.repeat, 0.1, 0.3), above(self.run, 0.02, 0.1), variety, *said], 1)
         votes[self.n == 0] = NONE
@@ -138,7 +137,7 @@ def _share(rows: int, most: int):
     return lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 62)) < F.lit(limit)
 
 
-def mine_terms(docs: DataFrame, labels: DataFrame, mine_rows: int, support: int = 6) -> np.ndarray:
+def mine_terms(docs: DataFrame, labels: DataFrame, mine_rows: int, support: int = 4) -> np.ndarray:
     """Hashes of words and word beginnings of labelled toxic documents that
     labelled good ones don't have, most frequent first.  Support counts
     different following words, so copies of one text don't count twice."""
@@ -258,8 +257,7 @@ class Model:
     """Terms, posterior by vote pattern, and the scorer's weights."""
 
     def __init__(self, terms: np.ndarray) -> None:
-        insults = C.Words([x.encode() for x in INSULTS], C.ALNUM_TABLE).hash
-        self.terms = Terms([insults, terms[0::2], terms[1::2]])
+        self.terms = Terms([terms, terms[0::2], terms[1::2]])
         self.posterior: dict[int, float] = {}
         self.weights, self.bias = np.zeros(WIDTH, np.float32), 0.0
 

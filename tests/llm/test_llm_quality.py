@@ -26,14 +26,27 @@ def test_held_out_accuracy(spark, judged):
     assert share(lambda q, t: q == 1 and t == 0) < 0.01
 
 
-def test_held_out_english_without_the_list_of_insults(monkeypatch, judged):
-    docs, labels, _ = judged
-    monkeypatch.setattr(Q, "INSULTS", [])
+def test_held_out_recall_in_every_language_with_enough_labels(spark):
+    """Mined on one half of the labels, measured on the other, by language."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found, names = Q.scored(docs, Q.fit(docs, labels.filter("doc_id % 2 = 0")))
     rows = found.join(labels.filter("doc_id % 2 = 1 AND quality = 1"), "doc_id").select(names["score"], "toxic", "lang").collect()
-    assert np.mean([s < 0.5 for s, t, lang in rows if t == 1 and lang == "en"]) > 0.95
-    assert np.mean([s < 0.5 for s, t, _ in rows if t == 1]) > 0.72
-    assert np.mean([s < 0.5 for s, t, _ in rows if t == 0]) < 0.01
+    for lang in {r.lang for r in rows}:
+        toxic = [r[0] < 0.5 for r in rows if r.toxic == 1 and r.lang == lang]
+        assert len(toxic) < 25 or np.mean(toxic) >= 0.9, (lang, len(toxic))
+        assert np.mean([r[0] < 0.5 for r in rows if r.toxic == 0 and r.lang == lang]) < 0.005
+    assert np.mean([r[0] < 0.5 for r in rows if r.toxic == 1]) >= 0.9
+
+
+def test_votes_of_mined_terms(spark):
+    terms = Q.C.Words([b"zorblax quuxly"], Q.C.ALNUM_TABLE).hash
+    model = Q.Model(terms)
+    texts = [b"a fine day", b"one zorblax here", b"zorblax and zorblax", b"quuxly zorblax", b"one quuxly"]
+    votes = Q.Shapes(texts).votes(model.terms)[:, Q.SHAPE_LABELLERS:]
+    said = {tuple((v == Q.BAD).tolist()) for v in votes[1:2]}
+    assert (votes[:, 0] == Q.BAD).tolist() == [False, False, True, True, False]  # two or more
+    assert (votes[:, 1:] == Q.BAD).any(1).tolist() == [False, True, True, True, True]
+    assert said in ({(False, True, False)}, {(False, False, True)})
 
 
 def test_every_row_is_scored_and_reruns_agree(judged):
