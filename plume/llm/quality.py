@@ -126,6 +126,8 @@ class Terms:
 
     def marks(self, hashes: np.ndarray) -> np.ndarray:
         """Bit k if the hash is in list k."""
+        if not len(self.hash):
+            return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
         return np.where(self.hash[at] == hashes, self.lists[at], 0)
 
