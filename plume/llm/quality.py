@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -345,22 +346,25 @@ def scored(docs: DataFrame, model: Model) -> tuple[DataFrame, dict[str, str]]:
     probability of good), under free names as in the dictionary."""
     C.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = C.fresh(docs, "utf8")
-    names = {c: C.fresh(docs, c) for c in ("posterior", "score")}
-    schema = docs.limit(0).withColumn(names["posterior"], F.lit(0.0)).withColumn(names["score"], F.lit(0.0)).schema
-    columns = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in C.slices(batches, text, SHARD_BYTES):
-            shapes = Shapes(batch.column(text).to_pylist())
+    @F.pandas_udf("posterior double, score double")
+    def judge(data: pd.Series) -> pd.DataFrame:  # the texts alone go to Python, two numbers come back
+        own, texts, weak, scores = shared.value, data.tolist(), [], []
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        at = 0
+        while at < len(texts):  # about SHARD_BYTES of text at a time, one text at least
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SHARD_BYTES, side="right")))
+            shapes = Shapes(texts[at:to])
             votes = shapes.votes(own.terms)
-            weak = [own.posterior.get(c, 0.5) for c in own.code(votes).tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(weak, pa.float64()), pa.array(own.score(shapes, votes), pa.float64())],
-                [*columns, *names.values()])
+            weak += [own.posterior.get(c, 0.5) for c in own.code(votes).tolist()]
+            scores += own.score(shapes, votes).tolist()
+            at = to
+        return pd.DataFrame({"posterior": weak, "score": scores}, dtype="float64")
 
-    return docs.withColumn(text, C.utf8()).mapInArrow(run, schema), names
+    judged = C.fresh(docs, "judged")
+    names = {c: C.fresh(docs, c) for c in ("posterior", "score")}
+    out = docs.withColumn(judged, judge(C.utf8()))
+    return out.select(*docs.columns, *(F.col(judged)[c].alias(n) for c, n in names.items())), names
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
