@@ -20,11 +20,11 @@ DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars
 
 def document_stream(spark: SparkSession, landing_dir: str, max_files: int = 16,
                     schema: str = DOCUMENT_SCHEMA) -> DataFrame:
-    """Documents as they land; the folder may still be empty."""
+    """Documents as they land, as files or as folders of files
+    (``documents*.parquet``); nothing need be there yet."""
     return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", "documents*.parquet")
             .option("maxFilesPerTrigger", max_files)
-            .parquet(landing_dir))
+            .parquet(f"{landing_dir.rstrip('/')}/documents*.parquet"))
 
 
 def enrich_stream(docs: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def enrich_stream(docs: DataFrame) -> DataFrame:
 
 def run_enrich_stream(spark: SparkSession, landing_dir: str, out: str | None = None) -> DataFrame:
     out = out or scratch_path(spark, "stream-enrich")
-    q = (enrich_stream(document_stream(spark, landing_dir)).writeStream
+    records = enrich_stream(document_stream(spark, landing_dir))
+    q = (records.writeStream
          .format("parquet")
          .option("path", out)
          .option("checkpointLocation", out + "_checkpoint")
@@ -41,4 +42,4 @@ def run_enrich_stream(spark: SparkSession, landing_dir: str, out: str | None = N
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(records.schema).parquet(out)  # by its own schema: there may be no row yet

@@ -20,11 +20,11 @@ EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string
 
 def event_stream(spark: SparkSession, landing_dir: str, max_files: int = 16,
                  schema: str = EVENT_SCHEMA) -> DataFrame:
-    """Events as they land; the folder may still be empty."""
+    """Events as they land, as files or as folders of files
+    (``events*.parquet``); nothing need be there yet."""
     return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", "events*.parquet")
             .option("maxFilesPerTrigger", max_files)
-            .parquet(landing_dir))
+            .parquet(f"{landing_dir.rstrip('/')}/events*.parquet"))
 
 
 def trend_counts(events: DataFrame, window: str = "1 day", watermark: str = "1 hour",

@@ -94,3 +94,25 @@ def test_streams_start_on_an_empty_landing_folder(spark):
     os.makedirs(land)
     assert enrich_stream(document_stream(spark, land)).columns[0] == "row_id"
     assert trend_counts(event_stream(spark, land)).columns == ["window", "event_type", "count"]
+
+
+def test_streams_read_tables_that_are_folders_of_files(spark):
+    from plume.streaming.trend import run_trend_stream
+    land = local_fs_path(scratch_path(spark, "folder-landing"))
+    docs = spark.createDataFrame([(i, f"text {i} serum", "en", "src1", 10) for i in range(6)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{land}/documents.parquet")
+    spark.createDataFrame([(i, "a") for i in range(6)], "event_id long, event_type string") \
+         .select("event_id", F.expr("timestamp_ntz'2024-01-01 10:00:00'").alias("ts"), "event_type") \
+         .repartition(3).write.parquet(f"{land}/events.parquet")
+    got = run_enrich_stream(spark, land)
+    ref = analyze_comments(FX.comments_from(docs))
+    assert sorted(map(str, got.collect())) == sorted(map(str, ref.collect()))
+    assert [(r.event_type, r["count"]) for r in run_trend_stream(spark, land).collect()] == [("a", 6)]
+
+
+def test_enrich_stream_of_an_empty_landing_folder_has_no_rows(spark):
+    land = local_fs_path(scratch_path(spark, "nothing-landed"))
+    os.makedirs(land)
+    got = run_enrich_stream(spark, land)
+    assert got.count() == 0 and got.columns[:2] == ["row_id", "comment"]
