@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CATEGORY_KEYWORDS
 from ..functions.text import is_blank
-from ..functions.labels import (brand_list, keyword_relevant, label_of,
-                                relevance_terms, score_of, score_structs, term_matches,
-                                winner_share_of)
+from ..functions.labels import (brand_list, category_found, keyword_relevant, label_of,
+                                loose_matches, normalized_matches, relevance_terms, score_of,
+                                score_structs, term_matches, winner_share_of)
 
 LOWER = "_text_lower"
 MATCHES = "_matches"
@@ -57,6 +57,18 @@ def weak_labels(df: DataFrame, text: str = "cleaned_text", out: str = "category"
     return _drop_work(with_scores(df, text).withColumn(out, label_of(SCORES)))
 
 
+def weak_labels_both(df: DataFrame, text: str, found: str = "found", out: str = "category") -> DataFrame:
+    """Of one scan of ``text``: ``found``, whether it has a category as it is
+    (null text: none), and ``out``, the category of its normalized form (as
+    ``weak_labels`` of ``normalize_text``)."""
+    terms = [w for words in CATEGORY_KEYWORDS.values() for w in words]
+    passages = loose_matches(LOWER, terms)
+    d = df.withColumn(LOWER, F.lower(F.col(text)))
+    d = d.select("*", F.inline(F.array(F.struct(passages.alias(MATCHES))))).withColumn(found, category_found(MATCHES))
+    d = d.withColumn(MATCHES, normalized_matches(MATCHES)).withColumn(SCORES, score_structs(MATCHES))
+    return _drop_work(d.withColumn(out, label_of(SCORES)))
+
+
 def category_score_columns(df: DataFrame, text: str = "textOriginal") -> DataFrame:
     """One column per category: number of distinct keywords contained."""
     d = with_scores(df, text)

@@ -16,7 +16,7 @@ independent join form (lexicon x comments on ``contains``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import (BRANDS, NOT_PRODUCT_RELATED, PRODUCT_RELATED,
@@ -134,11 +134,14 @@ def labelled(c: DataFrame) -> DataFrame:
     c = weak_labels(c, "textOriginal", "_label")
     c = c.withColumn("Predicted_Category",
                      F.when(F.col("_label") != UNLABELED, F.col("_label"))).drop("_label")
-    return c.withColumn(
-        "isProductRelated",
-        F.when(F.col("row_id") % NULL_RELEVANCE_MOD == NULL_RELEVANCE_AT, F.lit(None).cast("string"))
-        .when(F.col("Predicted_Category").isNull(), F.lit(NOT_PRODUCT_RELATED))
-        .otherwise(F.lit(PRODUCT_RELATED)))
+    return c.withColumn("isProductRelated", relevance(F.col("Predicted_Category").isNotNull()))
+
+
+def relevance(has_category: Column) -> Column:
+    """The relevance of a comment that has a category or not (some are null)."""
+    return (F.when(F.col("row_id") % NULL_RELEVANCE_MOD == NULL_RELEVANCE_AT, F.lit(None).cast("string"))
+            .when(~has_category, F.lit(NOT_PRODUCT_RELATED))
+            .otherwise(F.lit(PRODUCT_RELATED)))
 
 
 def _raw_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,3 +137,20 @@ def test_percent_rounds_as_python_does(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [tuple(r) for r in df.select(percent(F.col("x"), 2), percent(F.col("x"), 4)).collect()]
     assert got == [(f"{v:.2%}", f"{v:.4%}") for v in values]
+
+
+def test_one_scan_gives_the_labels_of_the_text_and_of_its_normalized_form(spark):
+    from pyspark.sql import functions as F
+
+    from plume.functions.fixed_values import UNLABELED
+    from plume.functions.text import normalize_text
+    from plume.operators.labelling import weak_labels, weak_labels_both
+
+    texts = ["Lip  Gloss", "lip-gloss", "LIP GLOSS", "lip gloss lip\ngloss", "anti-aging", "anti aging", "leave-in leave in", "dry, shampoo",
+             "dry shampoo", "hair color-treated", "hair\u00e9dye", "color treated", "hairdye", "spf50 tonertoner", "box'dye roots",
+             "sheet mask-clay mask", "hair hair mask hair  oil", "vitamin \U0001f600 c", "vitaminc", "", "  ", "\u0130 serum", "lip", "gloss lip", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, t string")
+    both = weak_labels_both(df, "t", "found", "category")
+    plain = weak_labels(weak_labels(df, "t", "_c").withColumn("n", normalize_text("t")), "n", "category")
+    ref = plain.select("row_id", "t", (F.col("_c") != UNLABELED).alias("found"), "category")
+    assert sorted(map(str, both.collect())) == sorted(map(str, ref.collect()))

@@ -44,3 +44,21 @@ def test_validation_rows_have_no_say_in_the_tuned_features(spark, category):
     again, _ = ml.tuning_features(others)
     assert fitted.stages[-1].idf == again.stages[-1].idf
     assert fitted.stages[-1].numDocs == rows.filter("split = 'train'").count() < rows.count()
+
+
+def test_comments_are_scanned_and_tokenized_once_with_the_same_result(spark):
+    from pyspark.sql import functions as F
+
+    from plume.functions.text import normalize_text
+    from plume.operators.labelling import weak_labels
+    from plume.sources import fixtures as FX
+
+    rows = ml.prepared(spark, SF001)
+    twice = weak_labels(FX.enriched(spark, SF001).withColumn("text", normalize_text("textOriginal")), "text", "category") \
+        .select("row_id", "text", (F.col("isProductRelated") == "Product Related").cast("int").alias("isProductRelated"),
+                "predicted_sentiment", "category")
+    assert sorted(map(str, rows.drop("tf").collect())) == sorted(map(str, twice.collect()))
+    counted = ml.with_terms(rows.drop("tf"))
+    assert sorted(map(str, rows.select("row_id", "tf").collect())) == sorted(map(str, counted.select("row_id", "tf").collect()))
+    plan = ml.predictions(ml.fit_best(ml.category_data(spark, SF001, rows))[0], rows.withColumn("label", F.lit(0)))
+    assert "tokens" not in plan._jdf.queryExecution().analyzed().toString()
