@@ -15,8 +15,8 @@ the ids alone) is also sent to the range before, so no range waits for another.
 
 Defined cases: null counts as empty; a text without a syncmer is its own only
 anchor, an empty text has none (likeness 1 to another empty one, else 0).
-Rows are in order of doc_id (null first), then of the text's hash and the
-text; a single row is its own next document.  doc_id must be long.
+Rows are in order of doc_id (null first), then of the text's hash and of the
+compressed text; a single row is its own next document.  doc_id must be long.
 """
 
 from __future__ import annotations
@@ -158,6 +158,16 @@ def likeness(a: str, b: str) -> float:
     return _likeness(_numbered(decoded(a)[1]), _numbered(decoded(b)[1]))
 
 
+def packed(data: bytes) -> bytes:
+    """A text's bytes compressed, behind their number."""
+    return len(data).to_bytes(8, "big") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def unpacked(data: bytes) -> str:
+    size = int.from_bytes(data[:8], "big")
+    return pa.Codec("zstd").decompress(data[8:], size, asbytes=True).decode("utf-8", "replace") if size else ""
+
+
 def _ranges(docs: DataFrame) -> list[tuple]:
     """The first key of each range of documents: one row per range."""
     parts = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -169,24 +179,26 @@ def _ranges(docs: DataFrame) -> list[tuple]:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(part, head, doc_id, text): documents dealt into ranges of doc_id, and
-    at the end of each range (head true) the first one of the next range."""
+    at the end of each range (head true) the first one of the next range; the
+    text is packed (see ``unpacked``)."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64(text).alias("hash"), text.alias("text"))
     starts = docs.sparkSession.sparkContext.broadcast(_ranges(keyed))  # a row per range
 
-    @F.pandas_udf("array<int>")
-    def parts(known: pd.Series, doc_id: pd.Series, hash_: pd.Series) -> pd.Series:
+    @F.pandas_udf("parts array<int>, packed binary")
+    def parts(known: pd.Series, doc_id: pd.Series, hash_: pd.Series, data: pd.Series) -> pd.DataFrame:
         own = starts.value
         out = []
         for k, d, h in zip(known.tolist(), doc_id.tolist(), hash_.tolist()):
             at = bisect_right(own, (k, d, h)) - 1
             # the first of a range also ends the one before (of the first range: the last)
             out.append([at, (at - 1) % len(own)] if own[at] == (k, d, h) else [at])
-        return pd.Series(out)
+        return pd.DataFrame({"parts": out, "packed": [packed(t) for t in data.tolist()]})
 
     # a column of long with nulls would reach pandas as doubles, which round large ids
     own_id = F.coalesce("doc_id", F.lit(0).cast("long"))
-    dealt = keyed.select("*", F.posexplode(parts("known", own_id, "hash")).alias("copy", "part"))
+    dealt = keyed.select("known", "doc_id", "hash", parts("known", own_id, "hash", F.col("text").cast("binary")).alias("dealt"))
+    dealt = dealt.select("known", "doc_id", "hash", F.col("dealt.packed").alias("text"), F.posexplode("dealt.parts").alias("copy", "part"))
     order = ["part", "copy", "known", "doc_id", "hash", "text"]
     return (dealt.repartition("part").sortWithinPartitions(*order)
             .select("part", (F.col("copy") == 1).alias("head"), "doc_id", "text"))
@@ -199,8 +211,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of the slice before: (part, head, doc_id, text)
-        for batch in C.slices(batches, "text", SLICE_BYTES):
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("part", "head", "doc_id", "text"))))
+        for batch in C.slices(batches, "text", SLICE_BYTES // 2):  # packed
+            part, head, doc_id, text = (batch.column(c).to_pylist() for c in ("part", "head", "doc_id", "text"))
+            rows = list(zip(part, head, doc_id, map(unpacked, text)))
             if held is not None:
                 rows.insert(0, held)
             held = rows[-1]

@@ -97,3 +97,13 @@ def test_likeness_against_longest_run():
         for i, p in enumerate(places):
             best[i] = 1 + max((best[j] for j in range(i) if places[j] < p), default=0)
         assert S._longest_run(np.array(places, np.int64)) == max(best, default=0)
+
+
+def test_texts_are_shuffled_packed(spark):
+    from plume.llm import syncmers
+
+    texts = ["", "a", "ä\U0001f600\x00 " * 50, "word " * 20_000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = syncmers.with_next(docs).filter("NOT head").collect()
+    assert sorted((r.doc_id, syncmers.unpacked(bytes(r.text))) for r in rows) == [(i, t or "") for i, t in enumerate(texts)]
+    assert sum(len(r.text) for r in rows) < 2_000
