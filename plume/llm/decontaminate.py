@@ -23,7 +23,7 @@ columns pass through; result columns take a free name (see ``contaminated``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ SAMPLE = 32
 #: Bytes of text per shard; longer documents are indexed in overlapping pieces.
 SHARD_BYTES = 2 << 20
 PIECE_WORDS = 1 << 20
+#: Windows of the benchmark searched in one pass.
+BLOCK_WINDOWS = 400_000
 
 
 class FMIndex:
@@ -265,35 +267,43 @@ def _blocks(benchmark: DataFrame, n: int, block_windows: int) -> Iterator[Block]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10,
-                 block_windows: int = 400_000) -> tuple[DataFrame, dict[str, str]]:
+                 block_windows: int = BLOCK_WINDOWS) -> tuple[DataFrame, dict[str, str]]:
     """The documents with the result columns ``n_words`` (long), ``spans``
     (array of alternating first and past-the-last hit words, merged) and
     ``items`` (array of the item ids that hit, sorted, without repeats), under
     the names in the returned dictionary (a clash takes a free name)."""
+    before, block, names = _searched(docs, benchmark, n, block_windows)
+    return _pass(before, block, names, before.schema), names
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, n: int, block_windows: int):
+    """The documents with the result columns of all blocks of the benchmark but
+    the last, the last block (broadcast), and the columns' names."""
     spark = docs.sparkSession
     C.ship(spark)
     names = {}
-    text = C.fresh(docs, "utf8")
-    out = docs.withColumn(text, C.utf8())
+    out = docs
     item = benchmark.schema["item_id"].dataType
     for key, kind in (("n_words", T.LongType()), ("spans", T.ArrayType(T.LongType())), ("items", T.ArrayType(item))):
         names[key] = C.fresh(out, key)
         out = out.withColumn(names[key], F.lit(None).cast(kind))
-    schema = out.schema
-    first = True
+    last = None
     for block in _blocks(benchmark, n, block_windows):
-        out = _pass(out if first else C.checkpoint(out), spark.sparkContext.broadcast(block), names, text, schema)
-        first = False
-    if first:
-        out = _pass(out, spark.sparkContext.broadcast(Block([], n)), names, text, schema)
-    return out.drop(text), names
+        if last is not None:
+            out = C.checkpoint(_pass(out, spark.sparkContext.broadcast(last), names, out.schema))
+        last = block
+    return out, spark.sparkContext.broadcast(Block([], n) if last is None else last), names
 
 
-def _pass(docs: DataFrame, block, names: dict[str, str], text: str, schema: T.StructType) -> DataFrame:
+def _pass(docs: DataFrame, block, names: dict[str, str], schema: T.StructType,
+          finish: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch) -> DataFrame:
+    """One pass with a block; ``finish`` makes the rows returned (of ``schema``)
+    of the ones with the result columns, in the same Python worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Block = block.value
-        for batch in C.slices(batches, text, SHARD_BYTES):
-            counts, hits, items = _shard(batch.column(text).to_pylist(), own)
+        for batch in C.slices(batches, "text", SHARD_BYTES):
+            texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+            counts, hits, items = _shard(texts, own)
             before = batch.column(names["spans"]).to_pylist()
             known = batch.column(names["items"]).to_pylist()
             spans, ids = [], []
@@ -308,7 +318,7 @@ def _pass(docs: DataFrame, block, names: dict[str, str], text: str, schema: T.St
             columns[names["n_words"]] = pa.array(counts, pa.int64())
             columns[names["spans"]] = pa.array(spans, pa.list_(pa.int64()))
             columns[names["items"]] = pa.array(ids, batch.schema.field(names["items"]).type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            yield finish(pa.RecordBatch.from_arrays(list(columns.values()), list(columns)))
 
     return docs.mapInArrow(run, schema)
 
@@ -331,22 +341,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents with every occurrence of a benchmark window cut out of
     the text; a document that loses all its words goes.  Texts without a hit
     and null texts stay as they are."""
-    found, names = contaminated(docs, benchmark, n)
+    before, block, names = _searched(docs, benchmark, n, BLOCK_WINDOWS)
     schema, columns = docs.schema, docs.columns
     words, spans = names["n_words"], names["spans"]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(spans).to_pylist()
-            total = batch.column(words).to_pylist()
-            keep = [not s or sum(s[1::2]) - sum(s[0::2]) < n for s, n in zip(rows, total)]
-            text = batch.column("text")
-            if any(rows):
-                text = pa.array([remove_spans(t, s) for t, s in zip(text.to_pylist(), rows)], text.type)
-            own = [text if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(own, columns).filter(pa.array(keep, pa.bool_()))
-
-    return found.mapInArrow(cut, schema)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.column(spans).to_pylist()
+        total = batch.column(words).to_pylist()
+        keep = [not s or sum(s[1::2]) - sum(s[0::2]) < n for s, n in zip(rows, total)]
+        text = batch.column("text")
+        if any(rows):
+            text = pa.array([remove_spans(t, s) for t, s in zip(text.to_pylist(), rows)], text.type)
+        own = [text if c == "text" else batch.column(c) for c in columns]
+        return pa.RecordBatch.from_arrays(own, columns).filter(pa.array(keep, pa.bool_()))
+
+    return _pass(before, block, names, schema, cut)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -104,3 +104,14 @@ def test_items_may_have_names(spark):
         assert got == {1: ["a/1", "b/2", None], 2: []}
     sha = hashlib.sha256(b"a/1,b/2").hexdigest()
     assert {r.doc_id: (r.n_items, r.items_sha256) for r in D.digest(docs, items).collect()}[1] == (3, sha)
+
+
+def test_cleaning_is_one_pass_in_one_worker_without_a_copy_of_the_text(spark):
+    from plume.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k tail"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    out = decontaminate.clean(docs, items)
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, " tail"), (2, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "as binary" not in plan
